@@ -1,0 +1,75 @@
+"""The queries of problems 1 to 10 over the tables of a folder."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerloom.llm import encoding, lookalike, repeated_lines, splitting, term_frequency
+from ledgerloom.llm.common import table
+
+QUERIES = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+@query
+def p1_found(spark, d):
+    terms = term_frequency.term_frequencies(table(spark, d, "chunks"), "chunk_id", "text")
+    return terms.where("mark IS NOT NULL").select("term", "mark")
+
+
+@query
+def p1_terms(spark, d):
+    return term_frequency.term_frequencies(table(spark, d, "chunks"), "chunk_id", "text")
+
+
+def _pieces(spark, d):
+    return splitting.split_oversized(table(spark, d, "chunks"), "chunk_id", "text", "section_heading")
+
+
+@query
+def p2_found(spark, d):
+    return _pieces(spark, d).where("piece_no = 0").select(F.col("item_id").alias("chunk_id")).distinct()
+
+
+@query
+def p2_pieces(spark, d):
+    return _pieces(spark, d)
+
+
+def _looks(spark, d, only_changed):
+    chunks = lookalike.normalize_lookalikes(table(spark, d, "chunks"), "chunk_id", ["text"], "chunks", only_changed)
+    return chunks.unionByName(lookalike.normalize_lookalikes(table(spark, d, "eval_set"), "qa_id", ["question", "answer"], "eval_set", only_changed))
+
+
+@query
+def p4_found(spark, d):
+    return _looks(spark, d, True).select("table_name", "row_key", "field_name").distinct()
+
+
+@query
+def p4_normalized(spark, d):
+    return _looks(spark, d, False)
+
+
+@query
+def p6_found(spark, d):
+    return repeated_lines.frequent_lines(table(spark, d, "chunks"), "chunk_id", "text", "cik", "ticker").select(F.col("item_id").alias("chunk_id"), "line_no").distinct()
+
+
+@query
+def p6_sequences(spark, d):
+    return repeated_lines.frequent_sequences(table(spark, d, "chunks"), "chunk_id", "text", "cik", "ticker")
+
+
+@query
+def p6_clean(spark, d):
+    return repeated_lines.remove_repeated_lines(table(spark, d, "chunks"), "chunk_id", "text", "cik", "ticker")
+
+
+@query
+def p8_ids(spark, d):
+    return encoding.encode_texts(table(spark, d, "documents"), "doc_id", "text")
