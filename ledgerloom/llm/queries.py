@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import encoding, lookalike, repeated_lines, splitting, term_frequency
+from ledgerloom.llm import encoding, lookalike, mixing, near_duplicates, repeated_lines, responses, splitting, term_frequency, text_quality, truncation
 from ledgerloom.llm.common import table
 
 QUERIES = {}
@@ -40,6 +40,20 @@ def p2_pieces(spark, d):
     return _pieces(spark, d)
 
 
+def _kinds(spark, d):
+    return text_quality.kinds_of_text(table(spark, d, "chunks"), "chunk_id", "text", table(spark, d, "chunk_labels"), keep=("word_count", "section_heading"))
+
+
+@query
+def p3_found(spark, d):
+    return _kinds(spark, d).where("kind <> 'prose'").select(F.col("item_id").alias("chunk_id"), "kind").distinct()
+
+
+@query
+def p3_statistics(spark, d):
+    return _kinds(spark, d)
+
+
 def _looks(spark, d, only_changed):
     chunks = lookalike.normalize_lookalikes(table(spark, d, "chunks"), "chunk_id", ["text"], "chunks", only_changed)
     return chunks.unionByName(lookalike.normalize_lookalikes(table(spark, d, "eval_set"), "qa_id", ["question", "answer"], "eval_set", only_changed))
@@ -55,6 +69,17 @@ def p4_normalized(spark, d):
     return _looks(spark, d, False)
 
 
+@query
+def p5_found(spark, d):
+    pairs = near_duplicates.near_duplicate_pairs(table(spark, d, "chunks"), "chunk_id", "text")
+    return pairs.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
+
+
+@query
+def p5_groups(spark, d):
+    return near_duplicates.near_duplicate_groups(table(spark, d, "chunks"), "chunk_id", "text")
+
+
 @query
 def p6_found(spark, d):
     return repeated_lines.frequent_lines(table(spark, d, "chunks"), "chunk_id", "text", "cik", "ticker").select(F.col("item_id").alias("chunk_id"), "line_no").distinct()
@@ -70,6 +95,40 @@ def p6_clean(spark, d):
     return repeated_lines.remove_repeated_lines(table(spark, d, "chunks"), "chunk_id", "text", "cik", "ticker")
 
 
+@query
+def p7_found(spark, d):
+    rows = table(spark, d, "eval_results").where("status = 'ok'")
+    return responses.defective_pairs(rows, ["run_fingerprint", "qa_id", "retriever"], "question", "llm_answer", "answerable")
+
+
 @query
 def p8_ids(spark, d):
     return encoding.encode_texts(table(spark, d, "documents"), "doc_id", "text")
+
+
+def _mixture(spark, d):
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"), "doc_id", "text", "source")
+
+
+@query
+def p9_mixture(spark, d):
+    return _mixture(spark, d)[0]
+
+
+@query
+def p9_shares(spark, d):
+    return _mixture(spark, d)[1]
+
+
+def _evidence(spark, d):
+    return truncation.truncation_evidence(table(spark, d, "documents"), "doc_id", "text", "source", "n_chars")
+
+
+@query
+def p10_found(spark, d):
+    return _evidence(spark, d).where("truncated").select(F.col("id").alias("doc_id")).distinct()
+
+
+@query
+def p10_by_source(spark, d):
+    return truncation.truncation_by_source(_evidence(spark, d))
