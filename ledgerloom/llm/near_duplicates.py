@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import map_arrow, record_key
+from ledgerloom.llm.common import batches_of, map_arrow, record_key
 from ledgerloom.session import cut_lineage
 
 TREES, DEPTH, SHALLOW, SKETCH_BITS = 16, 4, 3, 128
@@ -30,56 +30,74 @@ WORD = "[a-z0-9]+"
 SIGNATURE = "k string, c1 long, c2 long, sig binary, s1 long, s2 long"
 
 
+_IN_WORD = np.zeros(256, bool)
+_IN_WORD[[*b"abcdefghijklmnopqrstuvwxyz0123456789"]] = True
+
+_BYTES = np.arange(1, 257, dtype=np.uint64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Well spread 64-bit numbers of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 class Signer:
-    """Signatures of the sets of word runs of texts."""
+    """Signatures of the sets of word runs of many texts at once, by operations on the bytes of all of them."""
 
     def __init__(self, run: int, min_words: int, seed: int = 11):
         rng = np.random.default_rng(seed)
-        self.run, self.min_words = run, min_words
-        self.a = (rng.integers(0, 2**31, (SKETCH_BITS, 1), np.uint32) << np.uint32(1)) | np.uint32(1)
-        self.b = rng.integers(0, 2**32, (SKETCH_BITS, 1), np.uint32)
-        self.weights = rng.integers(0, 2**63, run, np.uint64) << np.uint64(1) | np.uint64(1)
-        self.find = re.compile(WORD).findall
-        self.known: dict[str, int] = {}
-
-    def runs(self, text: str) -> np.ndarray | None:
-        """A 64-bit number for each run; None if the text has too few words."""
-        import xxhash
-
-        words = self.find(text.lower())
-        if len(words) < max(self.min_words, self.run):
-            return None
-        known = self.known
-        if len(known) > 500_000:
-            known.clear()
-        try:
-            ids = [known[w] for w in words]
-        except KeyError:
-            for w in set(words) - known.keys():
-                known[w] = xxhash.xxh3_64_intdigest(w)
-            ids = [known[w] for w in words]
-        h = np.array(ids, np.uint64)
+        self.run, self.min_words = run, max(min_words, run)
+        self.a = (rng.integers(0, 2**31, SKETCH_BITS, np.uint32) << np.uint32(1)) | np.uint32(1)
+        self.b = rng.integers(0, 2**32, SKETCH_BITS, np.uint32)
+        self.places = _mixed(np.arange(256, dtype=np.uint64)) | np.uint64(1)
+        self.held = np.empty((256, SKETCH_BITS), np.uint32)
+
+    def runs(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the lower-cased texts in ``data`` that end at ``ends``: (those with enough words, a 64-bit number for each run, where each text's runs begin, and their end)."""
+        inside = _IN_WORD[data]
+        inside_before = np.concatenate([[False], inside[:-1]])
+        inside_before[ends[:-1][ends[:-1] < len(data)]] = False  # words end with their text
+        starts = np.flatnonzero(inside & ~inside_before)
+        if not len(starts):
+            return np.empty(0, np.int64), np.empty(0, np.uint64), np.zeros(1, np.int64)
+        where = np.flatnonzero(inside)
+        word = np.cumsum(inside & ~inside_before)[where] - 1
+        # a word's number: its bytes, each multiplied by a number of its place
+        place = where - starts[word]
+        far = place >= len(self.places)
+        place = np.where(far, _mixed(place.astype(np.uint64)) | np.uint64(1), self.places[np.where(far, 0, place)]) if far.any() else self.places[place]
+        first = np.searchsorted(where, starts)
+        h = _mixed(np.add.reduceat(_BYTES[data[where]] * place, first))
+        text = np.searchsorted(ends, starts, "right")
+        counts = np.bincount(text, minlength=len(ends))
         n = len(h) - self.run + 1
-        x = np.zeros(n, np.uint64)
-        for i, w in enumerate(self.weights):
-            x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n] * w
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0xD6E8FEB86659FD93)
-        return x ^ (x >> np.uint64(32))
-
-    def sign(self, x: np.ndarray) -> tuple[int, int, bytes, int, int]:
-        import xxhash
-
-        sets = np.unique(x)
-        raw = sets.tobytes()
-        c1, c2 = (np.uint64(xxhash.xxh3_64_intdigest(raw, seed)).astype(np.int64) for seed in (1, 2))
-        low = (sets >> np.uint64(32)).astype(np.uint32)
-        v = np.full(SKETCH_BITS, 2**32 - 1, np.uint32)
-        for at in range(0, len(low), 2048):
-            v = np.minimum(v, (low[at : at + 2048] * self.a + self.b).min(axis=1))
-        bits = np.packbits(((v >> np.uint32(3)) & np.uint32(1)).astype(np.uint8)).view(np.int64)
-        sig = ((v ^ (v >> np.uint32(16))) & np.uint32(0xFFFF)).astype(np.uint16)[: TREES * DEPTH]
-        return int(c1), int(c2), sig.tobytes(), int(bits[0]), int(bits[1])
+        x = np.zeros(max(n, 0), np.uint64)
+        for i in range(self.run):
+            x = _mixed(x * np.uint64(3) + h[i : i + n])
+        keep = (text[: len(x)] == text[self.run - 1 :]) & (counts[text[: len(x)]] >= self.min_words)
+        texts = np.flatnonzero(counts >= self.min_words)
+        return texts, x[keep], np.concatenate([[0], np.cumsum(counts[texts] - self.run + 1)])
+
+    def sign(self, x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """c1, c2, signature, s1, s2 of the texts whose runs begin at ``at``.
+
+        The class is the sum of mixed numbers of all runs: texts with the same
+        runs as often share it. Equal sets with other numbers of repeats are found
+        as neighbours.
+        """
+        c1, c2 = (np.add.reduceat(_mixed(x ^ np.uint64(k)), at[:-1]).view(np.int64) for k in (0x51ED27, 0xA0761D6478BD642F))
+        low = (x >> np.uint64(32)).astype(np.uint32)[:, None]
+        v = np.full((len(at) - 1, SKETCH_BITS), 2**32 - 1, np.uint32)
+        for i in range(len(at) - 1):
+            for j in range(at[i], at[i + 1], len(self.held)):
+                part = low[j : min(j + len(self.held), at[i + 1])]
+                held = np.multiply(part, self.a, out=self.held[: len(part)])
+                np.minimum(v[i], np.add(held, self.b, out=held).min(axis=0), out=v[i])
+        bits = np.packbits(((v >> np.uint32(3)) & np.uint32(1)).astype(np.uint8), axis=1).view(np.int64)
+        sig = ((v ^ (v >> np.uint32(16))) & np.uint32(0xFFFF)).astype(np.uint16)[:, : TREES * DEPTH]
+        return c1, c2, sig, bits[:, 0], bits[:, 1]
 
 
 def similarity(a: str, b: str, run: int) -> float:
@@ -121,15 +139,22 @@ def close_neighbours(region: np.ndarray, deeper: np.ndarray, ids: np.ndarray, s1
 
 def signatures(df: DataFrame, id_col: str, text_col: str, run: int, min_words: int) -> DataFrame:
     """One row per record that takes part: its key, its class (c1, c2) and its signature."""
-    texts = df.where(F.col(text_col).isNotNull()).select(record_key(id_col, text_col).alias("k"), F.col(text_col).cast("string"))
+    texts = df.where(F.col(text_col).isNotNull()).select(record_key(id_col, text_col).alias("k"), F.lower(F.col(text_col).cast("string")))
 
     def sign(batches):
         signer = Signer(run, min_words)
-        for batch in batches:
-            rows = [(k, *signer.sign(x)) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (x := signer.runs(t)) is not None]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-            types = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types, strict=True)], ["k", "c1", "c2", "sig", "s1", "s2"])
+        for large in batches:
+            for batch in batches_of(large, 256):
+                column = batch.column(1).cast(pa.large_binary())
+                _, offsets, data = column.buffers()
+                ends = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+                if not data or ends[-1] == ends[0]:
+                    continue
+                some, x, at = signer.runs(np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], ends[1:] - ends[0])
+                if not len(some):
+                    continue
+                c1, c2, sig, s1, s2 = signer.sign(x, at)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.array(c1), pa.array(c2), pa.array([r.tobytes() for r in sig], pa.binary()), pa.array(s1), pa.array(s2)], ["k", "c1", "c2", "sig", "s1", "s2"])
 
     return cut_lineage(map_arrow(texts, sign, SIGNATURE).dropDuplicates(["k"]))
 
