@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ledgerloom.functions.text import lexical_tokens
 from ledgerloom.operators.selection import top_rows
+from ledgerloom.session import cut_lineage
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -19,8 +20,10 @@ def fit(chunks: DataFrame, part: str, key: str, text: str) -> tuple[DataFrame, D
     half of the records, below nought, is a quarter of the mean of all.
     """
     tokens = chunks.select(F.col(part).alias("part"), F.col(key).alias("key"), lexical_tokens(F.col(text)).alias("w"))
-    tokens = tokens.withColumn("dl", F.size("w"))
+    # the index: tokens and postings are made once and read by every step below
+    tokens = cut_lineage(tokens.withColumn("dl", F.size("w")))
     postings = tokens.select("part", "key", "dl", F.explode("w").alias("term")).groupBy("part", "key", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    postings = cut_lineage(postings)
     records = tokens.select("part", "key", "dl").withColumn("pos", F.row_number().over(Window.partitionBy("part").orderBy("key")))
     totals = records.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     raw = postings.groupBy("part", "term").agg(F.count(F.lit(1)).alias("df")).join(totals, "part").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
@@ -38,7 +41,7 @@ def scores(questions: DataFrame, chunks: DataFrame, part: str, key: str, text: s
     hit = weights.join(postings, ["part", "term"])
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     summed = hit.groupBy("query", "part", "key").agg(F.round(F.sum(F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / norm), 6).alias("score"))
-    return summed, records
+    return cut_lineage(summed), records
 
 
 def ranked(questions: DataFrame, chunks: DataFrame, part: str, key: str, text: str, query: str, question: str, k: int) -> DataFrame:
