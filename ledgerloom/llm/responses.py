@@ -50,7 +50,7 @@ _REFUSAL = re.compile(
     """
 )
 _NOT_STATED = re.compile(r"(?i)\b(?:however|nevertheless|that said|but|still)\b[,;:]?\s+(?:\S+\s+){5,}")
-_SOURCES = re.compile(r"(?is)\s*\bsources?\s*:\s*(?:\[[^\[\]]*\](?:\s*[,;]\s*)?)*\s*$")
+_SOURCES = re.compile(r"(?is)\bsources?\s*:\s*(?:\[[^\[\]]*\](?:\s*[,;]\s*)?)*\s*$")
 _OPEN_SOURCES = re.compile(r"(?is)\bsources?\s*:\s*\[[^\]]*$")
 _TERMINAL = re.compile(r"""[.!?。！？।؟][)\]"'”’»」』*_]*$""")
 _ITEM = re.compile(r"^\s*(?:[-•*·–]|\(?[0-9]{1,3}[.)]|\(?[a-z][.)])\s+")
@@ -123,7 +123,7 @@ def unfinished(answer: str | None) -> str | None:
     text = (answer or "").strip()
     if _OPEN_SOURCES.search(text):
         return "open"
-    bare = _SOURCES.sub("", text)
+    bare = _SOURCES.sub("", text).strip()
     if bare != text:
         return "whole"
     if re.search(r"(?i)\n\s*(?:s|so|sou|sour|sourc|source|sources):?$", text):
