@@ -49,7 +49,8 @@ _REFUSAL = re.compile(
     | ^\W*(?:je\s+(?:ne\s+(?:peux|sais|suis)|suis\s+désolé)|désolé|impossible\s+de|ich\s+kann\b.*\bnicht|leider|es\s+tut\s+mir\s+leid|lo\s+siento|no\s+puedo|no\s+es\s+posible|não\s+posso|desculpe|lamento|申し訳|к\s+сожалению|извините)
     """
 )
-_NOT_STATED = re.compile(r"(?i)\b(?:however|nevertheless|that said|but|still)\b[,;:]?\s+(?:\S+\s+){5,}")
+# what follows one of these words may be an answer; a subject before it belongs to that clause
+_CONTRAST = re.compile(r"(?i)\b((?:i|we)\s+)?(?:however|nevertheless|that said|but|still)\b[,;:]?\s+")
 _SOURCES = re.compile(r"(?is)\bsources?\s*:\s*(?:\[[^\[\]]*\](?:\s*[,;]\s*)?)*\s*$")
 _OPEN_SOURCES = re.compile(r"(?is)\bsources?\s*:\s*\[[^\]]*$")
 _TERMINAL = re.compile(r"""[.!?。！？।؟][)\]"'”’»」』*_]*$""")
@@ -96,6 +97,17 @@ def language(text: str) -> str | None:
     return best if most >= 2 and most >= 1.3 * second and most >= 0.08 * max(latin, 1) else None
 
 
+def _answers_yet(core: str) -> bool:
+    """Whether a clause of more than five words behind a contrast answers, i.e. is no refusal itself."""
+    marks = list(_CONTRAST.finditer(core))
+    ends = [*(m.start() for m in marks[1:]), len(core)]
+    for mark, end in zip(marks, ends, strict=bool(marks)):
+        clause = core[mark.end() : end]
+        if len(clause.split()) > 5 and not _REFUSAL.search((mark.group(1) or "") + clause):
+            return True
+    return False
+
+
 def rule_defect(question: str | None, answer: str | None, answerable: bool | None) -> str | None:
     """``empty``, ``question_copy``, ``refusal`` or ``other_language``, or None."""
     core = _core(answer or "")
@@ -109,7 +121,7 @@ def rule_defect(question: str | None, answer: str | None, answerable: bool | Non
             return "question_copy"
     if asked and len(asked) > 20 and (said in asked and len(said) > 0.9 * len(asked)):
         return "question_copy"
-    if answerable and len(core) < 400 and _REFUSAL.search(core) and not _NOT_STATED.search(core):
+    if answerable and _REFUSAL.search(core) and not _answers_yet(core):
         return "refusal"
     plain = _QUOTED.sub(" ", core)
     spoken, wanted = language(plain), language(question or "")

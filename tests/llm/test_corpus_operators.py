@@ -197,6 +197,21 @@ def test_defects(spark):
     assert responses.defective_pairs(df.limit(0), ["run"], "q", "answer", "ok").count() == 0
 
 
+@pytest.mark.parametrize(
+    ("answer", "defect"),
+    [
+        ("I'm sorry, but I can't answer that from the material provided.", "refusal"),
+        ("I'm sorry, but I can't answer that from the material provided.\nSources: [Chunk 1]", "refusal"),
+        ("We are not able to answer; I still cannot say which of the two plants was sold.", "refusal"),
+        ("I'm sorry, but the excerpts that were provided do not contain the figure. However, I cannot determine it from another place in them.", "refusal"),
+        ("I cannot determine revenue from these excerpts. " + "They treat the lease of the site in Wales and its terms. " * 8, "refusal"),
+        ("The filing does not state revenue separately; however, in Wales sales of all the units climbed.", None),
+    ],
+)
+def test_refusals_with_contrast_or_of_any_length(answer, defect):
+    assert responses.rule_defect("What drove the change in revenue during 2020?", answer, True) == defect
+
+
 def test_neighbours_find_every_continued_value(spark):
     rng = random.Random(9)
     values = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 9))) for _ in range(400)]
