@@ -1,14 +1,17 @@
 """Problem 7: broken prompt and response pairs, with the kind of their defect.
 
-Responses are sorted by text and each is compared with its neighbours: in the
-sorted order, a response that another one continues stands just before one that
-begins with it. Lengths at which unfinished responses pile up show a length
-limit. Both, with the ending, tell truncated responses; rules on copies,
-refusals and languages tell the others.
+Responses are sorted by question and text and each is compared with its
+neighbours: in the sorted order, those that continue a response stand just
+behind it. Lengths at which unfinished responses pile up show a length limit.
+An ending that surely goes on tells a truncated response alone; where the ending
+leaves it open, or looks whole but another response goes on within the sentence
+or figure, the neighbours and limits decide. Rules on copies, refusals and
+languages tell the other defects.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import map_arrow
-from ledgerloom.llm.truncation import OPEN_WORDS
+from ledgerloom.llm.truncation import ABBREVIATED, OPEN_WORDS
 from ledgerloom.session import cut_lineage
 
 # fixed values: frequent words that tell a language
@@ -54,6 +57,7 @@ _CONTRAST = re.compile(r"(?i)\b((?:i|we)\s+)?(?:however|nevertheless|that said|b
 _SOURCES = re.compile(r"(?is)\bsources?\s*:\s*(?:\[[^\[\]]*\](?:\s*[,;]\s*)?)*\s*$")
 _OPEN_SOURCES = re.compile(r"(?is)\bsources?\s*:\s*\[[^\]]*$")
 _TERMINAL = re.compile(r"""[.!?。！？।؟][)\]"'”’»」』*_]*$""")
+_ABBREVIATION = re.compile(ABBREVIATED)
 _ITEM = re.compile(r"^\s*(?:[-•*·–]|\(?[0-9]{1,3}[.)]|\(?[a-z][.)])\s+")
 _FIGURE = re.compile(r"\d")
 _QUOTED = re.compile(r"“[^”]*”|«[^»]*»|\"[^\"]*\"|„[^“”]*[“”]|「[^」]*」")
@@ -131,7 +135,7 @@ def rule_defect(question: str | None, answer: str | None, answerable: bool | Non
 
 
 def unfinished(answer: str | None) -> str | None:
-    """How a response ends: ``whole``, ``open`` (it surely goes on) or ``unclear``."""
+    """How a response ends: ``whole``, ``open`` (it surely goes on), ``unclear`` or ``abbreviated`` (in a full stop that may be no end)."""
     text = (answer or "").strip()
     if _OPEN_SOURCES.search(text):
         return "open"
@@ -141,6 +145,8 @@ def unfinished(answer: str | None) -> str | None:
     if re.search(r"(?i)\n\s*(?:s|so|sou|sour|sourc|source|sources):?$", text):
         return "open"
     text = bare.strip()
+    if len(text.split()) > 3 and _ABBREVIATION.search(text):
+        return "abbreviated"
     if not text or _TERMINAL.search(text):
         return "whole"
     lines = [x for x in text.split("\n") if x.strip()]
@@ -165,45 +171,85 @@ def unfinished(answer: str | None) -> str | None:
     return "open"
 
 
+def goes_on(said: str, rest: str) -> bool:
+    """Whether ``rest`` goes on within the word, figure or sentence in which ``said`` ends; scripts without spaces tell nothing."""
+    last, first = said[-1], rest[0]
+    joined = first.isalnum() and first < "⺀"
+    if last in ".!?":
+        return joined or first in ",;" or rest.lstrip(" ")[:1].islower()
+    if last.isalnum() and last < "⺀":
+        return joined or last.isdigit() and re.match(r"[.,]\d", rest) is not None
+    return False
+
+
 def continued(answers: DataFrame) -> DataFrame:
-    """Of the distinct, non-empty ``answer`` values, those another one continues: answer, continued boolean.
+    """Of the distinct, non-empty ``answer`` values, those another one continues: answer, continued boolean, onward boolean (by one that ``goes_on``).
 
-    Values are sorted by text over all partitions. If any value continues one,
-    its next neighbour does, so one comparison a value suffices; the last value
-    of a partition is compared with the first of the next, one value a partition.
+    Values are sorted by text over all partitions. Those that continue a value
+    follow it without a gap, so a task holds the values that the last one
+    continues and no others. What a partition holds at its end is compared with
+    the partitions behind it.
     """
-    ordered = answers.where("answer IS NOT NULL AND answer <> ''").distinct().repartitionByRange("answer").sortWithinPartitions("answer")
+    ordered = answers.where("answer IS NOT NULL AND answer <> ''").select("answer").distinct().repartitionByRange("answer").sortWithinPartitions("answer")
 
     def compare(batches):
         from pyspark import TaskContext
 
-        no, held, first = TaskContext.get().partitionId(), None, True
+        no, held, first = TaskContext.get().partitionId(), [], True
 
-        def rows(values, flags, kinds):
-            return pa.RecordBatch.from_pydict({"answer": pa.array(values, pa.string()), "continued": pa.array(flags, pa.bool_()), "place": pa.array(kinds, pa.string()), "part": pa.array([no] * len(values), pa.int32())})
+        def batch_of(rows):
+            values, flags, on, kinds = zip(*rows, strict=True)
+            return pa.RecordBatch.from_pydict({"answer": pa.array(values, pa.string()), "continued": pa.array(flags, pa.bool_()), "onward": pa.array(on, pa.bool_()), "place": pa.array(kinds, pa.string()), "part": pa.array([no] * len(values), pa.int32())})
 
         for batch in batches:
-            values = batch.column(0).to_pylist()
-            if not values:
-                continue
-            if first:
-                yield rows([values[0]], [False], ["first"])
-                first = False
-            if held is not None:
-                values.insert(0, held)
-            held = values.pop()
-            following = [*values[1:], held]
-            yield rows(values, [b.startswith(a) for a, b in zip(values, following, strict=True)], ["inner"] * len(values))
-        if held is not None:
-            yield rows([held], [False], ["last"])
-
-    kept = cut_lineage(map_arrow(ordered, compare, "answer string, continued boolean, place string, part int"))
-    # two values a partition, whatever the number of rows
-    edges = sorted((r.part, r.place, r.answer) for r in kept.where("place <> 'inner'").collect())
-    firsts = [(p, a) for p, kind, a in edges if kind == "first"]
-    lasts = {p: a for p, kind, a in edges if kind == "last"}
-    open_ends = [p for (p, _), (_, b) in zip(firsts, firsts[1:], strict=False) if b.startswith(lasts[p])]
-    return kept.where("place <> 'first'").select("answer", (F.col("continued") | ((F.col("place") == "last") & F.col("part").isin(open_ends or [-1]))).alias("continued"))
+            rows = []
+            for value in batch.column(0).to_pylist():
+                if first:
+                    rows.append((value, False, False, "first"))
+                    first = False
+                while held and not value.startswith(held[-1][0]):
+                    rows.append((*held.pop(), "inner"))
+                for one in held:
+                    one[1], one[2] = True, one[2] or goes_on(one[0], value[len(one[0]) :])
+                held.append([value, False, False])
+            if rows:
+                yield batch_of(rows)
+        if held:
+            yield batch_of([(*one, "last") for one in held])
+
+    kept = cut_lineage(map_arrow(ordered, compare, "answer string, continued boolean, onward boolean, place string, part int"))
+    # the first value of each partition and those its last one continues
+    edges = kept.where("place <> 'inner'").select("part", "place", "answer").collect()
+    firsts = sorted((r.part, r.answer) for r in edges if r.place == "first")
+    following = dict(zip((p for p, _ in firsts), firsts[1:], strict=False))
+    over = sorted((r.part, r.answer) for r in edges if r.place == "last" and r.part in following and following[r.part][1].startswith(r.answer))
+    values = kept.where("place <> 'first'").select("answer", "continued", "onward", "part")
+    if not over:
+        return values.drop("part")
+
+    def look(batches):
+        seen = set()
+        for batch in batches:
+            for value, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen.update(a for p, a in over if part > p and a not in seen and value.startswith(a) and goes_on(a, value[len(a) :]))
+        yield pa.RecordBatch.from_pydict({"a": pa.array(sorted(seen), pa.string())})
+
+    ons = [r.a for r in map_arrow(values.select("answer", "part"), look, "a string").distinct().collect()]
+    return values.select("answer", (F.col("continued") | F.col("answer").isin([a for _, a in over])).alias("continued"), (F.col("onward") | F.col("answer").isin(ons)).alias("onward") if ons else "onward")
+
+
+def length_limits(judged: DataFrame) -> DataFrame:
+    """ending, limit: the lengths at which open endings pile up, for each ending of which more than half at that length is in excess.
+
+    What a length would hold is the mean of the four on either side; equal
+    answers count once.
+    """
+    spikes = judged.where("length(answer) > 40").select("answer", "ending").distinct().groupBy("ending", F.length("answer").alias("n")).agg(F.count(F.lit(1)).alias("x"))
+    around = spikes.select("ending", "x", F.col("n").alias("m"), F.explode(F.sequence(F.col("n") - 4, F.col("n") + 4)).alias("n"))
+    counted = around.groupBy("ending", "n").agg(F.coalesce(F.sum(F.when(F.col("m") == F.col("n"), F.col("x"))), F.lit(0)).alias("at"), (F.coalesce(F.sum(F.when(F.col("m") != F.col("n"), F.col("x"))), F.lit(0)) / 8).alias("near"))
+    # four standard deviations above what the lengths around let expect
+    limits = counted.where("ending = 'open'").where((F.col("at") >= 8) & (F.col("at") > F.col("near") + 4 * F.sqrt("near"))).select(F.col("n").alias("limit"))
+    return counted.where(F.col("at") > 2 * F.col("near")).join(limits, F.col("n") == F.col("limit")).select("ending", "limit")
 
 
 def defective_pairs(df: DataFrame, key_cols: list[str], question_col: str, answer_col: str, answerable_col: str) -> DataFrame:
@@ -230,21 +276,18 @@ def defective_pairs(df: DataFrame, key_cols: list[str], question_col: str, answe
             q, a, ok = (batch.column(n + i).to_pylist() for i in range(3))
             defects = [rule_defect(*x) for x in zip(q, a, ok, strict=True)]
             endings = [unfinished(x) for x in a]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), batch.column(n + 1), pa.array(defects, pa.string()), pa.array(endings, pa.string())], [*keys, "answer", "defect", "ending"])
+            # answers to one question are neighbours, their lists of sources taken off
+            cores = [None if d else hashlib.md5((x or "").encode()).hexdigest() + _core(y or "") for x, y, d in zip(q, a, defects, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), batch.column(n + 1), pa.array(defects, pa.string()), pa.array(endings, pa.string()), pa.array(cores, pa.string())], [*keys, "answer", "defect", "ending", "core"])
 
     kinds = dict(rows.dtypes)
-    judged = cut_lineage(map_arrow(rows, judge, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", answer string, defect string, ending string"))
+    judged = cut_lineage(map_arrow(rows, judge, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", answer string, defect string, ending string, core string"))
     sure = judged.where("defect IS NOT NULL OR ending = 'open'").select(*keys, F.coalesce("defect", F.lit("truncated")).alias("defect"))
-    unclear = judged.where("defect IS NULL AND ending = 'unclear'")
-    # a length at which open endings pile up, against the four lengths on either side
-    spikes = judged.where("defect IS NULL AND length(answer) > 40").groupBy(F.length("answer").alias("n")).agg(F.count_if(F.col("ending") == "open").alias("open"), F.count(F.lit(1)).alias("all"))
-    around = spikes.select(F.explode(F.transform(F.sequence(F.lit(-4), F.lit(4)), lambda o: F.struct((F.col("n") + o).alias("n"), o.alias("o"), F.col("open").alias("x")))).alias("v")).select("v.*")
-    piled = around.groupBy("n").agg(F.coalesce(F.sum(F.when(F.col("o") == 0, F.col("x"))), F.lit(0)).alias("at"), F.coalesce(F.sum(F.when(F.col("o") != 0, F.col("x"))), F.lit(0)).alias("near"))
-    limits = piled.join(spikes.select("n", "all"), "n").where((F.col("at") >= 8) & (F.col("at") > F.col("near")) & (F.col("at") > 0.6 * F.col("all"))).select(F.col("n").alias("limit"))
-    # all answers are neighbours, of unclear and other endings
-    shortened = continued(judged.select("answer")).where("continued").select("answer")
-    by_neighbour = unclear.join(shortened, "answer", "left_semi")
-    by_limit = unclear.join(limits, F.length("answer") == F.col("limit"), "left_semi")
+    plain = judged.where("defect IS NULL")
+    doubtful = plain.where("ending <> 'open'")
+    neighbours = continued(plain.select(F.col("core").alias("answer"))).where("continued").withColumnRenamed("answer", "core")
+    by_neighbour = doubtful.join(neighbours, "core").where("onward OR ending = 'unclear'")
+    by_limit = doubtful.where("ending IN ('unclear', 'abbreviated')").withColumn("limit", F.length("answer")).join(length_limits(plain), ["ending", "limit"], "left_semi")
     cut = by_neighbour.select(*keys).unionByName(by_limit.select(*keys)).distinct().withColumn("defect", F.lit("truncated"))
     found = sure.unionByName(cut)
     return found.select(*(F.col(k).alias(c) for c, k in zip(key_cols, keys, strict=True)), "defect").distinct()

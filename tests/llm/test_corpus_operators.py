@@ -219,6 +219,34 @@ def test_neighbours_find_every_continued_value(spark):
     assert got == {(v, any(w != v and w.startswith(v) for w in values)) for v in values}
 
 
+def test_neighbours_that_go_on_are_found_over_partition_edges(spark):
+    values = ["Revenue rose 4.", "Revenue rose 4. It fell later.", *(f"Revenue rose 4. Sales {i:03} fell." for i in range(300)), "Revenue rose 4.5% in Wales.", "Costs fell.", "Costs fell. Sales rose."]
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # or all values come into one partition
+    try:
+        got = rows_of(responses.continued(spark.createDataFrame([(v,) for v in values], "answer string")).where("continued"), "answer", "onward")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert got == {("Revenue rose 4.", True), ("Costs fell.", False)}
+
+
+def test_neighbours_and_limits_tell_truncated_responses(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    rows = [
+        ("figure", "q1", "Revenue in Wales rose by a good 4."), ("whole", "q1", "Revenue in Wales rose by a good 4.5% in all. It fell later."),
+        ("sentence", "q1", "Revenue in Wales rose by a good 4.5% in all."),
+        ("company", "q2", "The supplier was Zor Inc."), ("longer", "q2", "The supplier was Zor Inc. of Osaka."),
+        ("other question", "q3", "Revenue in Wales rose by a good 4."), ("alone", "q3", "The supplier was Zor Inc."),
+    ]
+    # many answers of 160 characters cut in a word, one of them cut behind an abbreviation
+    rows += [(f"cut {i}", f"p{i}", " ".join(word() for _ in range(30))[:157] + "xyz") for i in range(12)]
+    rows += [("at limit", "q4", (" ".join(word() for _ in range(30))[:151] + " Zor Inc.")[-160:])]
+    df = spark.createDataFrame(rows, "run string, q string, answer string").selectExpr("*", "true AS ok")
+    got = {r.run for r in responses.defective_pairs(df, ["run"], "q", "answer", "ok").collect()}
+    assert got == {"figure", "company", "at limit", *(f"cut {i}" for i in range(12))}
+
+
 # 10
 def test_truncation(spark):
     rng = random.Random(5)
