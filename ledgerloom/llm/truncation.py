@@ -72,34 +72,67 @@ def _between(mu: float, sigma: float, a: float, b: float) -> float:
 
 
 def find_limits(lengths: np.ndarray, counts: np.ndarray) -> list[tuple[int, int, float]]:
-    """(limit, width, posterior) of the limits of one source in one unit; lengths ascend."""
+    """(limit, width, posterior) of the limits of one source in one unit; lengths ascend.
+
+    Every stretch that reaches beyond the median and holds enough texts is tried,
+    the one furthest above its surroundings first. What a limit explains is taken
+    out before the others are judged, so stretches that overlap it count for
+    their own texts only. Texts above a limit, from another feed of the source or
+    under a higher limit, are no objection to it.
+    """
     total = counts.sum()
     if total < 20:
         return []
     cum = np.concatenate([[0], np.cumsum(counts)])
     median = lengths[np.searchsorted(cum[1:], total / 2)]
-    found = []
+    # of so many stretches none should stand out so far by chance
+    doubt = math.log(1000 * len(WIDTHS) * len(lengths))
+    free, found, tried = np.ones(len(lengths), bool), [], []
     for width in WIDTHS:
+        span = 12 * width + 60
         low = np.searchsorted(lengths, lengths - width, "right")
-        inside = cum[1:] - cum[low]
-        # the densest stretches that reach beyond the median; each is tried
-        tried = [i for i in np.argsort(-inside, kind="stable")[:12] if lengths[i] >= median and inside[i] >= max(MIN_AT_LIMIT, 0.004 * total)]
-        for i in tried:
-            limit, at = float(lengths[i]), float(inside[i])
-            seen = np.ones(len(lengths), bool)
+        near = np.searchsorted(lengths, lengths - span, "right"), np.searchsorted(lengths, lengths + 60, "right")
+        enough = (lengths >= median) & (cum[1:] - cum[low] >= max(MIN_AT_LIMIT, 0.004 * total))
+        tried.append((width, span, low, *near, enough))
+    while True:
+        left, taken = (np.concatenate([[0], np.cumsum(x)]) for x in (counts * free, ~free))
+        best = None
+        for width, span, low, first, last, enough in tried:
+            at = left[1:] - left[low]
+            places = np.maximum(width - (taken[1:] - taken[low]), 1)
+            # what stands around the stretch counts as well as the fitted curve: a corpus may have lumps of its own
+            around = (left[last] - left[first] - at) * places / span
+            least = np.maximum(around, places / span)
+            score = np.where(enough & (at >= MIN_AT_LIMIT) & (around <= 0.25 * at), at * np.log(np.maximum(at, 1) / least) - at + least, 0.0)
+            i = int(np.argmax(score))
+            if score[i] > doubt and (best is None or score[i] > best[0]):
+                best = score[i], i, width, low, enough
+        if best is None:
+            return found
+        i, narrow = best[1], best[2]
+        best[4][i] = False
+        explained = free.copy()
+        # texts cut back to the end of a word or character before an exact limit belong to it
+        for width, span, low, first, last, _ in tried:
+            if width < narrow:
+                continue
+            at, places = left[i + 1] - left[low[i]], max(width - (taken[i + 1] - taken[low[i]]), 1)
+            around = (left[last[i]] - left[first[i]] - at) * places / span
+            seen = free.copy()
             seen[low[i] : i + 1] = False
             if counts[seen].sum() < 10:
                 continue
-            mu, sigma = _fit(lengths[seen], counts[seen], at, limit - width + 1)
-            # what stands around the stretch counts as well as the fitted curve: a corpus may have lumps of its own
-            near = (lengths > limit - 12 * width - 60) & (lengths <= limit + 60) & seen
-            around = counts[near].sum() * width / (12 * width + 60)
-            natural = max(total * _between(mu, sigma, limit - width, limit), around)
-            above = total - cum[i + 1]
-            posterior = max(0.0, 1 - natural / at)
-            if posterior >= 0.75 and above <= 0.25 * at:
-                found.append((int(limit), width, round(min(posterior, 0.995), 4)))
-    return found
+            limit = float(lengths[i])
+            mu, sigma = _fit(lengths[seen], counts[seen], float(at), limit - width + 1)
+            natural = max(total * _between(mu, sigma, limit - width, limit) * places / width, around)
+            posterior, expected = float(1 - natural / at), max(natural, places / span)
+            if posterior >= 0.75 and at * math.log(at / expected) - at + expected > doubt:
+                own = low[i] + np.flatnonzero(free[low[i] : i + 1])
+                found.append((int(lengths[own[-1]]), int(lengths[own[-1]] - lengths[own[0]]) + 1, round(min(posterior, 0.995), 4)))
+                explained[own] = False
+            elif width == narrow:
+                break
+        free = explained
 
 
 def censoring_limits(features: DataFrame) -> DataFrame:

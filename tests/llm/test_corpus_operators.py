@@ -270,6 +270,23 @@ def test_truncation(spark):
     assert truncation.truncation_evidence(df.limit(0), "doc_id", "text", "source", "n").count() == 0
 
 
+def test_every_limit_of_a_source_is_found():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    natural = np.round(np.exp(rng.normal(6.8, 0.6, 3000))).astype(int)
+    # a lower limit of one feed, the lump of another limit that fills more than twelve stretches, a higher one
+    lump = 2000 + rng.integers(0, 40, 600)
+    x, n = np.unique(np.concatenate([natural, np.full(60, 1300), lump, np.full(90, 3000)]), return_counts=True)
+    found = truncation.find_limits(x.astype(float), n.astype(float))
+    covered = lambda v: any(limit - width < v <= limit for limit, width, _ in found)
+    assert covered(1300) and covered(3000) and all(covered(v) for v in range(2000, 2040))
+    # only the limits, and no stretch twice
+    assert all(1300 <= limit <= 1316 or 2000 <= limit <= 2056 or limit == 3000 for limit, _, _ in found)
+    x, n = np.unique(natural, return_counts=True)
+    assert truncation.find_limits(x.astype(float), n.astype(float)) == []
+
+
 # 3
 def test_rules_separate_kinds_and_survive_wrong_labels():
     import numpy as np
