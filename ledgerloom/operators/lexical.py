@@ -44,6 +44,25 @@ def scores(questions: DataFrame, chunks: DataFrame, part: str, key: str, text: s
     return cut_lineage(summed), records
 
 
+def filled(asked: DataFrame, summed: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """query, key, grp, score: every hit of ``summed`` in the groups a question allows, and of each group with fewer than ``k`` hits of nought or more the first others, which score 0, as many as ``k`` places may need.
+
+    ``asked``: query, part, forms (allowed groups, all where that is empty);
+    ``members``: part, key, grp of all records. Ties among records that score 0
+    go to the one that comes first.
+    """
+    allowed = (F.size("forms") == 0) | F.coalesce(F.array_contains("forms", F.col("grp")), F.lit(False))
+    # records without a group make one
+    placed = members.select("part", "key", "grp", F.coalesce("grp", F.lit("")).alias("g"))
+    hits = summed.join(placed, ["part", "key"]).join(asked.select("query", "forms"), "query").where(allowed)
+    counted = hits.groupBy("query", "g").agg(F.count_if(F.col("score") < 0).alias("below"), F.count(F.lit(1)).alias("hits"))
+    groups = placed.select("part", "grp", "g").distinct()
+    short = asked.join(groups, "part").where(allowed).join(counted, ["query", "g"], "left").withColumn("need", F.lit(k) + F.coalesce("hits", F.lit(0))).where(F.coalesce(F.col("hits") - F.col("below"), F.lit(0)) < k)
+    ordered = placed.withColumn("pos", F.row_number().over(Window.partitionBy("part", "g").orderBy("key")))
+    fill = short.select("query", "part", "g", "need").distinct().join(ordered, ["part", "g"]).where(F.col("pos") <= F.col("need")).join(summed.select("query", "part", "key"), ["query", "part", "key"], "left_anti")
+    return hits.select("query", "key", "grp", "score").unionByName(fill.select("query", "key", "grp", F.lit(0.0).alias("score")))
+
+
 def ranked(questions: DataFrame, chunks: DataFrame, part: str, key: str, text: str, query: str, question: str, k: int) -> DataFrame:
     """query, key, score, rank of the best ``k`` records of each question's part.
 

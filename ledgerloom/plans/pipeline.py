@@ -75,8 +75,11 @@ def evaluate(spark: SparkSession, questions: DataFrame, chunks: DataFrame, log:
     asked = work.withColumns({"ticker": T.norm_ticker(F.col("ticker")), "forms": forms, "each": T.compares(F.col("question")) & (F.size(forms) > 1)})
     found = []
     if "bm25" in retrievers:
-        summed, _ = lexical.scores(asked.where("retriever = 'bm25'"), chunks, "ticker", "chunk_id", "text", "qa_id", "question")
-        found.append(summed.select(F.col("query").alias("qa_id"), F.col("key").alias("chunk_id"), "score", F.lit("bm25").alias("retriever")))
+        wanted = asked.where("retriever = 'bm25'")
+        summed, _ = lexical.scores(wanted, chunks, "ticker", "chunk_id", "text", "qa_id", "question")
+        members = chunks.select(F.col("ticker").alias("part"), F.col("chunk_id").alias("key"), F.col("filing_type").alias("grp"))
+        places = lexical.filled(wanted.select(F.col("qa_id").alias("query"), F.col("ticker").alias("part"), "forms"), summed, members, k)
+        found.append(places.select(F.col("query").alias("qa_id"), F.col("key").alias("chunk_id"), "score", F.lit("bm25").alias("retriever")))
     failed = []
     if "faiss" in retrievers:
         if embed is None:

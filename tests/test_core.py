@@ -114,6 +114,18 @@ def test_bm25_fills_up_with_records_that_score_nothing(spark):
     assert order == {"q1": ["c2", "c0", "c1", "c3"], "q2": ["c0", "c1", "c2", "c3"], "q3": []}
 
 
+def test_bm25_fills_up_within_the_allowed_forms(spark):
+    texts = [("c0", "10-K", "cash flow"), ("c1", "10-K", "risk"), ("c2", "8-K", "board"), ("c3", "8-K", "vote"), ("c4", "10-Q", "cash cash"), ("c5", None, "other words"), ("c6", "10-Q", "more of it")]
+    chunks = spark.createDataFrame([("A", *t) for t in texts], "ticker string, chunk_id string, filing_type string, text string")
+    asked = spark.createDataFrame([("q1", "A", "Cash", ["10-K"]), ("q2", "A", "cash", ["10-Q", "8-K"]), ("q3", "A", "cash", []), ("q4", "A", "nothing", ["8-K"]), ("q5", "B", "cash", [])], "query string, part string, question string, forms array<string>")
+    summed, _ = lexical.scores(asked.withColumnRenamed("part", "ticker"), chunks, "ticker", "chunk_id", "text", "query", "question")
+    members = chunks.select(F.col("ticker").alias("part"), F.col("chunk_id").alias("key"), F.col("filing_type").alias("grp"))
+    got = lexical.filled(asked, summed, members, 2).collect()
+    order = {q: [r.key for r in sorted((r for r in got if r["query"] == q), key=lambda r: (-r.score, r.key))] for q in ("q1", "q2", "q3", "q4", "q5")}
+    assert order["q1"] == ["c0", "c1"] and order["q2"] == ["c4", "c2", "c3", "c6"] and order["q4"] == ["c2", "c3"] and order["q5"] == []
+    assert order["q3"][:4] == ["c4", "c0", "c1", "c2"] and len(set(order["q3"])) == len(order["q3"])
+
+
 def test_dense_search_equals_brute_force_in_blocks(spark, monkeypatch):
     rng = random.Random(2)
     rows = [(i, [rng.gauss(0, 1) for _ in range(6)], i % 3) for i in range(60)] + [(60, None, 1), (61, [0.0] * 6, 2), (62, [1.0], 0)]

@@ -39,3 +39,12 @@ def test_build_describe_evaluate_score(spark, tmp_path):
     with pytest.raises(FileExistsError):
         pipeline.score(results, str(tmp_path / "scored"))
     assert chunks.where(F.col("word_count") > 400).count() == 0
+
+
+def test_evaluate_fills_places_with_chunks_that_share_no_term(spark, tmp_path):
+    rows = [("AA", "c1", "10-K", "2025-01-01", "h", "cash rises"), ("AA", "c2", "8-K", "2025-02-01", "h", "board met"), ("AA", "c3", "8-K", "2025-02-01", "h", "vote held"), ("AA", "c4", "10-Q", "2025-03-01", "h", "cash")]
+    chunks = spark.createDataFrame(rows, "ticker string, chunk_id string, filing_type string, filing_date string, section_heading string, text string")
+    questions = spark.createDataFrame([("q1", 1, "What of cash stands in an 8-K?", "it met", "AA", 1, "true", "AA_8-K_2025-02-01", None), ("q2", 2, "Compare cash of 10-K with 8-K", "x", "AA", 2, "yes", "AA_MULTI", None)], tables.QUESTION)
+    got = {r.qa_id: r for r in pipeline.evaluate(spark, questions, chunks, str(tmp_path / "log.jsonl"), "r1", ["bm25"], 2).collect()}
+    assert got["q1"].retrieved_chunk_ids == "c2|c3" and got["q1"].retrieval_scores == "0.0|0.0"
+    assert set(got["q2"].retrieved_chunk_ids.split("|")) == {"c1", "c2"}
