@@ -76,8 +76,8 @@ def frequent_lines(df: DataFrame, id_col: str, text_col: str, cik_col: str, tick
     return _single_lines(_records(df, id_col, text_col, cik_col, ticker_col), min_records).select(F.col("item").alias("item_id"), "source", "line_no").distinct()
 
 
-def frequent_sequences(df: DataFrame, id_col: str, text_col: str, cik_col: str, ticker_col: str, min_records: int = 10, max_length: int = 3) -> DataFrame:
-    """The frequent sequences of lines of each source, up to ``max_length`` lines, with their support.
+def frequent_sequences(df: DataFrame, id_col: str, text_col: str, cik_col: str, ticker_col: str, min_records: int = 10, max_length: int | None = None) -> DataFrame:
+    """The frequent sequences of lines of each source, with their support; of any length, or up to ``max_length`` lines.
 
     The lines of a sequence follow each other in a record, with others between
     them or not, and a line stands in it once. Nulls and repeats as in
@@ -86,18 +86,23 @@ def frequent_sequences(df: DataFrame, id_col: str, text_col: str, cik_col: str,
     Returns source, length int, lines array<string> (as in ``same_line``), records bigint.
     """
     records = _records(df, id_col, text_col, cik_col, ticker_col)
-    occurrences = cut_lineage(_single_lines(records, min_records).select("k", "source", "line_no", F.struct("a", "b").alias("line")).groupBy("k", "source", "line").agg(F.min("line_no").alias("at"), F.max("line_no").alias("last")))
-    grown = occurrences.select("k", "source", F.array("line").alias("seq"), "at")
-    found = []
-    for length in range(1, max_length + 1):
-        support = grown.groupBy("source", "seq").agg(F.count(F.lit(1)).alias("records")).where(F.col("records") >= min_records)
+    occurrences = cut_lineage(_single_lines(records, min_records).select("k", "source", "line_no", F.struct("a", "b").alias("line")).groupBy("k", "source", "line").agg(F.array_sort(F.collect_set("line_no")).alias("places")))
+    grown = occurrences.select("k", "source", F.array("line").alias("seq"), F.col("places")[0].alias("at"))
+    # every place of a line: the next one behind a prefix may be neither its first nor its last
+    nxt = occurrences.select("k", F.col("line").alias("n"), "places")
+    found, length = [], 1
+    while True:
+        support = cut_lineage(grown.groupBy("source", "seq").agg(F.count(F.lit(1)).alias("records")).where(F.col("records") >= min_records))
+        if length > 1 and support.isEmpty():
+            break
         found.append(support.withColumn("length", F.lit(length)))
         if length == max_length:
             break
         kept = grown.join(support.select("source", "seq"), ["source", "seq"], "left_semi")
         # the leftmost occurrence of the sequence is the prefix; what stands behind it is the projection
-        nxt = occurrences.select("k", F.col("line").alias("n"), F.col("at").alias("n_at"), F.col("last").alias("n_last"))
-        grown = cut_lineage(kept.join(nxt, "k").where((F.col("n_last") > F.col("at")) & ~F.array_contains("seq", F.col("n"))).select("k", "source", F.concat("seq", F.array("n")).alias("seq"), F.when(F.col("n_at") > F.col("at"), F.col("n_at")).otherwise(F.col("n_last")).alias("at")))
+        behind = F.array_min(F.filter("places", lambda p: p > F.col("at")))
+        grown = cut_lineage(kept.join(nxt, "k").where(~F.array_contains("seq", F.col("n"))).select("k", "source", F.concat("seq", F.array("n")).alias("seq"), behind.alias("at")).where("at IS NOT NULL"))
+        length += 1
     sequences = found[0]
     for more in found[1:]:
         sequences = sequences.unionByName(more)

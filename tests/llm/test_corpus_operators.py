@@ -151,6 +151,16 @@ def test_sequences_of_lines(spark):
     assert got == {(("a",), 15), (("b",), 12), (("c",), 15), (("a", "b"), 12), (("a", "c"), 12), (("b", "c"), 12), (("a", "b", "c"), 12)}
 
 
+def test_sequences_of_any_length_and_repeated_lines(spark):
+    rows = [(f"c{i}", f"a\nb\nx{i}\nc\nd\ne", "1", None) for i in range(11)]
+    # behind b at 5, and a at 3, no first or last place of a line is the next one
+    rows += [(f"r{i}", f"b\n{i} k\n{i} l\na\n{i} m\nb\n{i} n\nc\n{i} o\nb", "2", None) for i in range(10)]
+    got = {(r.source, tuple(r.lines)): r.records for r in repeated_lines.frequent_sequences(chunks(spark, rows), "chunk_id", "text", "cik", "ticker").collect()}
+    want = {("cik 1", s): 11 for n in range(1, 6) for s in itertools.combinations("abcde", n)}
+    want |= {("cik 2", tuple(s)): 10 for s in ("a", "b", "c", "ab", "ac", "ba", "bc", "cb", "abc", "acb", "bac")}
+    assert got == want
+
+
 # 8
 def test_ids_equal_the_library(spark):
     from tokenizers import Tokenizer
