@@ -26,22 +26,27 @@ IMITATIONS = {
     "ο": "o", "ν": "v", "ρ": "p", "ι": "i", "α": "a", "υ": "u", "χ": "x", "ϲ": "c", "ϳ": "j",
     "օ": "o", "ս": "u", "հ": "h", "ո": "n", "ց": "g", "զ": "q", "յ": "j",
 }
-# fixed values: characters that show nothing; the two joiners are kept where a script or an emoji needs them
-INVISIBLE = r"\x{00AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180E}\x{200B}\x{200E}\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{3164}\x{FEFF}\x{FFA0}\x{FFF9}-\x{FFFB}\x{E0000}-\x{E007F}"
+# fixed values: characters that show nothing; the two joiners and the selectors of emoji are kept where a script or an emoji needs them
+INVISIBLE = r"\x{00AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180E}\x{200B}\x{200E}\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{3164}\x{FE00}-\x{FE0F}\x{FEFF}\x{FFA0}\x{FFF9}-\x{FFFB}\x{E0000}-\x{E007F}\x{E0100}-\x{E01EF}"
 CONTROLS = r"\x00-\x08\x0E-\x1F\x7F-\x84\x86-\x9F"
 JOINERS = r"\x{200C}\x{200D}"
-TAKES_JOINERS = r"\p{Arabic}\p{Syriac}\p{Devanagari}\p{Bengali}\p{Gurmukhi}\p{Gujarati}\p{Oriya}\p{Tamil}\p{Telugu}\p{Kannada}\p{Malayalam}\p{Sinhala}\p{Khmer}\p{Mongolian}\p{So}\x{FE0F}\x{1F3FB}-\x{1F3FF}"
+TAKES_JOINERS = r"\p{Arabic}\p{Syriac}\p{Devanagari}\p{Bengali}\p{Gurmukhi}\p{Gujarati}\p{Oriya}\p{Tamil}\p{Telugu}\p{Kannada}\p{Malayalam}\p{Sinhala}\p{Khmer}\p{Mongolian}\p{So}\x{FDD3}\x{1F3FB}-\x{1F3FF}"
+# the characters of emoji that are no other symbols; behind them and symbols a variation selector is kept (as U+FDD3, U+FDD4 while others are removed)
+TAKES_SELECTORS = r"\p{So}\x{203C}\x{2049}\x{2194}-\x{21AA}\x{25FD}-\x{25FE}\x{2934}-\x{2935}\x{3030}\x{1F3FB}-\x{1F3FF}"
 SPACES = r"\x{00A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}"
 CJK = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}"
 LIGATURES = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0xFB00, 0xFB07)}
-COMPATIBILITY_RANGES = ((0xFF01, 0xFF5F), (0xFF61, 0xFFEF), (0x1D400, 0x1D800), (0x24B6, 0x24EA), (0x2160, 0x2180), (0x210A, 0x2132), (0x3000, 0x3001))
+COMPATIBILITY_RANGES = ((0xFF01, 0xFF5F), (0xFF61, 0xFFEF), (0x1D400, 0x1D800), (0x2011, 0x2012), (0x2460, 0x24EA), (0x2160, 0x2180), (0x210A, 0x2132), (0x3000, 0x3001))
 
 
-def _compatible() -> dict[str, str]:
-    """Characters of the compatibility ranges with a form of one character, from the Unicode data."""
+def _compatible() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters of the compatibility ranges with a form of one character, and with a longer one, from the Unicode data."""
     pairs = {chr(c): unicodedata.normalize("NFKC", chr(c)) for a, b in COMPATIBILITY_RANGES for c in range(a, b)}
-    keep = {"™", "№", "Ω"}
-    return {a: b for a, b in pairs.items() if a != b and len(b) == 1 and b.isprintable() and a not in keep}
+    keep = {"™", "℠", "№", "Ω"}
+    # the full-width macron has a space in its normal form
+    pairs |= {"\uffe3": "\u00af"}
+    pairs = {a: b for a, b in pairs.items() if a != b and b.isprintable() and a not in keep}
+    return {a: b for a, b in pairs.items() if len(b) == 1}, LIGATURES | {a: b for a, b in pairs.items() if len(b) > 1}
 
 
 def _quoted(s: str) -> str:
@@ -50,16 +55,19 @@ def _quoted(s: str) -> str:
 
 def normal_form_sql(x: str) -> str:
     """DuckDB SQL for the string expression ``x`` without its hidden, padded and compatibility characters; null stays null."""
-    compatible = _compatible()
+    compatible, longer = _compatible()
     joiners, held = "\u200c\u200d", "\ufdd0\ufdd1"
+    selectors, kept = "\ufe0f\ufe0e", "\ufdd3\ufdd4"
     marker = "\ufdd2"
     # a full-width mark or space that follows CJK text is proper there
     cjk_mark = r"([" + CJK + r"，。、；：？！（）「」『』【】《》])([\x{FF01}-\x{FF0F}\x{FF1A}-\x{FF20}\x{FF3B}-\x{FF40}\x{FF5B}-\x{FF5E}\x{3000}])"
-    step = x
+    step = rf"regexp_replace({x}, '([0-9#*])\x{{FE0F}}(\x{{20E3}})', '\1{kept[0]}\2', 'g')"
+    for selector, other in zip(selectors, kept, strict=True):
+        step = rf"regexp_replace({step}, '([{TAKES_SELECTORS}]){selector}', '\1{other}', 'g')"
     for joiner, other in zip(joiners, held, strict=True):
         step = rf"regexp_replace({step}, '([{TAKES_JOINERS}]){joiner}', '\1{other}', 'g')"
     step = rf"regexp_replace({step}, '[{INVISIBLE}{JOINERS}{CONTROLS}]+', '', 'g')"
-    step = f"translate({step}, '{held}', '{joiners}')"
+    step = f"translate({step}, '{held}{kept}', '{joiners}{selectors}')"
     step = rf"regexp_replace({step}, '[\x{{0085}}\x{{2028}}\x{{2029}}]', chr(10), 'g')"
     step = rf"regexp_replace({step}, '[{SPACES}]', ' ', 'g')"
     for _ in range(2):  # neighbouring marks share a character of context
@@ -70,7 +78,9 @@ def normal_form_sql(x: str) -> str:
 
     # the first character after a marker stays, all others are translated
     step = f"array_to_string(list_transform(string_split({step}, '{marker}'), lambda p, i: CASE WHEN i = 1 THEN {rest('p')} ELSE p[1] || {rest('p[2:]')} END), '')"
-    step = reduce(lambda s, kv: f"replace({s}, '{kv[0]}', '{kv[1]}')", LIGATURES.items(), step)
+    spelled = reduce(lambda s, kv: f"replace({s}, '{kv[0]}', '{kv[1]}')", longer.items(), "s")
+    # few values hold one of them
+    step = f"list_transform([{step}], lambda s: CASE WHEN regexp_matches(s, '[{''.join(longer)}]') THEN {spelled} ELSE s END)[1]"
     return f"nfc_normalize({step})"
 
 
@@ -91,7 +101,7 @@ def _letters_sql(x: str) -> str:
 
 
 def _query() -> str:
-    suspicious = "[" + INVISIBLE + JOINERS + CONTROLS + r"\x{0085}\x{2028}\x{2029}" + SPACES + r"\x{0300}-\x{036F}\x{0340}-\x{0345}\x{037E}\x{0387}\x{1F71}-\x{1FFD}\x{2126}-\x{212B}\x{FB00}-\x{FB06}\x{3000}\x{FF01}-\x{FFEE}\x{1D400}-\x{1D7FF}\x{24B6}-\x{24E9}\x{2160}-\x{217F}\x{210A}-\x{2131}\p{M}\p{Cyrillic}\p{Greek}\p{Armenian}" + "]"
+    suspicious = "[" + INVISIBLE + JOINERS + CONTROLS + r"\x{0085}\x{2028}\x{2029}" + SPACES + r"\x{0300}-\x{036F}\x{0340}-\x{0345}\x{037E}\x{0387}\x{1F71}-\x{1FFD}\x{2126}-\x{212B}\x{FB00}-\x{FB06}\x{3000}\x{FF01}-\x{FFEE}\x{1D400}-\x{1D7FF}\x{2011}\x{2460}-\x{24E9}\x{2160}-\x{217F}\x{210A}-\x{2131}\p{M}\p{Cyrillic}\p{Greek}\p{Armenian}" + "]"
     other = r"[\p{Cyrillic}\p{Greek}\p{Armenian}]"
     letters = _letters_sql("f")
     return f"""

@@ -129,6 +129,13 @@ def test_dense_regions_are_compared_whole():
     assert len(near_duplicates.close_neighbours(region, deeper, ids, s, s, 10, 10)) == 3 * 100 * 99 // 2
 
 
+def test_forms_of_several_characters_and_selectors(spark):
+    wanted = {"Part Ⅱ, Ⅷ and ⅳ": "Part II, VIII and iv", "step ① to ⑩ ⑵ ⒊": "step 1 to 10 (2) 3.", "non‑stop": "non‐stop", "ca\ufe0fsh a\ufe00 b\U000e0101": "cash a b", "a\ufe0f\u200db": "ab", "❤\ufe0f\u200d🔥 ☎\ufe0e 1\ufe0f\u20e3": None, "Brand™ № 5 ℠": None, "ﬁne oﬃce": "fine office"}
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(wanted)], "id string, t string")
+    got = {int(r.row_key): (r.normal_text, r.changed) for r in lookalike.normalize_lookalikes(df, "id", ["t"], "x").collect()}
+    assert got == {i: (b or a, b is not None) for i, (a, b) in enumerate(wanted.items())}
+
+
 # 6
 def test_repeated_lines_equal_brute_force(spark):
     rng = random.Random(2)
