@@ -15,6 +15,8 @@ from ledgerloom.operators import chunking, cleaning, dense, lexical, profile, sc
 from ledgerloom.sources import publish, tables
 
 VERSION, SIZE, OVERLAP = 2, 400, 75
+#: Rows of a table that a report shows.
+SHOWN = 1000
 
 
 def build_dataset(spark: SparkSession, filings: DataFrame, raw: DataFrame, out: str, cutoff: str, counts: dict[str, int], size: int = SIZE, overlap: int = OVERLAP) -> dict:
@@ -43,7 +45,7 @@ def build_dataset(spark: SparkSession, filings: DataFrame, raw: DataFrame, out:
 
 
 def describe(spark: SparkSession, folder: str, out: str) -> str:
-    """Writes report.md of a dataset: counts, words, sections, missing values."""
+    """Writes report.md of a dataset: counts, words, sections, missing values; a table of more than 1,000 rows stands whole in a folder of CSV beside it, which the report names."""
     chunks, cleaned = spark.read.parquet(f"{folder}/chunks.parquet"), spark.read.parquet(f"{folder}/cleaning_manifest.parquet")
     parts = {
         "Chunks by ticker and form": profile.chunk_profile(chunks, ["ticker", "filing_type"]).orderBy("ticker", "filing_type"),
@@ -52,8 +54,16 @@ def describe(spark: SparkSession, folder: str, out: str) -> str:
         "Missing values": profile.missingness(chunks, "chunks", ["company", "cik", "section_heading", "text"]).unionByName(profile.missingness(cleaned, "cleaning_manifest", ["source_url", "warnings"])),
         "Lengths kept": profile.describe(cleaned, 100 * F.col("cleaned_length") / F.nullif("raw_length", F.lit(0))),
     }
-    # each table is an aggregate; of tickers and forms the first 1,000 rows are shown
-    shown = [f"## {title}\n\n{publish.markdown_table(df.columns, [tuple(r) for r in df.limit(1000).collect()])}" for title, df in parts.items()]
+    shown = []
+    for title, df in parts.items():
+        # each table is an aggregate; the report shows its first 1,000 rows
+        rows = [tuple(r) for r in df.limit(SHOWN + 1).collect()]
+        body = publish.markdown_table(df.columns, rows[:SHOWN])
+        if len(rows) > SHOWN:
+            name = title.lower().replace(" ", "_") + ".csv"
+            df.write.mode("overwrite").option("header", True).csv(f"{out}/{name}")
+            body += f"\n\nThe first {SHOWN:,} of {df.count():,} rows; all are in `{name}`."
+        shown.append(f"## {title}\n\n{body}")
     text = "# Dataset report\n\n" + "\n\n".join(shown) + "\n"
     publish.write_atomic(f"{out}/report.md", text)
     return text

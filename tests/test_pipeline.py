@@ -48,3 +48,13 @@ def test_evaluate_fills_places_with_chunks_that_share_no_term(spark, tmp_path):
     got = {r.qa_id: r for r in pipeline.evaluate(spark, questions, chunks, str(tmp_path / "log.jsonl"), "r1", ["bm25"], 2).collect()}
     assert got["q1"].retrieved_chunk_ids == "c2|c3" and got["q1"].retrieval_scores == "0.0|0.0"
     assert set(got["q2"].retrieved_chunk_ids.split("|")) == {"c1", "c2"}
+
+
+def test_describe_keeps_every_row_of_a_long_table(spark, tmp_path):
+    d = str(tmp_path / "data")
+    chunks = spark.range(1203).select(F.format_string("T%04d", "id").alias("ticker"), F.lit("10-K").alias("filing_type"), F.concat(F.lit("c"), "id").alias("chunk_id"), F.lit("x").alias("company"), F.lit("1").alias("cik"), F.lit("h").alias("section_heading"), F.lit("some text").alias("text"), F.lit(2).alias("word_count"), F.lit("2025-01-01").alias("filing_date"), F.col("id").cast("string").alias("accession_number"))
+    chunks.write.parquet(f"{d}/chunks.parquet")
+    spark.createDataFrame([("u", ["w"], 10, 5)], "source_url string, warnings array<string>, raw_length long, cleaned_length long").write.parquet(f"{d}/cleaning_manifest.parquet")
+    text = pipeline.describe(spark, d, str(tmp_path / "report"))
+    assert "| T0999 |" in text and "| T1000 |" not in text and "The first 1,000 of 1,203 rows; all are in `chunks_by_ticker_and_form.csv`." in text
+    assert spark.read.option("header", True).csv(str(tmp_path / "report" / "chunks_by_ticker_and_form.csv")).select("ticker").distinct().count() == 1203
