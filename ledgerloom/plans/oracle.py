@@ -81,7 +81,7 @@ _BM25 = f"""{_TEXTS}, {_QUESTIONS},
     term AS (SELECT ticker, term, df, n, avgdl, CASE WHEN raw < 0 THEN floor ELSE raw END AS idf FROM raw JOIN fl USING (ticker)),
     asked AS (SELECT qa_id, ticker, term, count(*) AS times FROM (SELECT qa_id, ticker, unnest({_words('lower(question)')}) AS term FROM q WHERE ticker IS NOT NULL) GROUP BY ALL),
     hit AS (SELECT qa_id, ticker, chunk_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM asked JOIN term USING (ticker, term) JOIN post USING (ticker, term) JOIN rec USING (ticker, chunk_id) GROUP BY ALL)"""
-_FORMS = r"""fm AS (SELECT qa_id, list_transform(regexp_extract_all(coalesce(question, ''), '(?i)\b(10[ \-–—]?[KQ]|8[ \-–—]?K)\b', 1), lambda x: regexp_replace(upper(x), '^(10|8)[ \-–—]?([KQ])$', '\1-\2')) AS found, coalesce(regexp_matches(question, '(?i)\b(?:compar(?:e|ed|ing|ison)|versus|vs\.?|relative\s+to)(?:\W|$)'), false) AS compares FROM q WHERE ticker IS NOT NULL),
+_FORMS = r"""fm AS (SELECT qa_id, list_transform(list_transform(regexp_extract_all(coalesce(question, ''), '(?i)\b(10[\s\x{00A0}]*[-–—]?[\s\x{00A0}]*[KQ]|8[\s\x{00A0}]*[-–—]?[\s\x{00A0}]*K)\b', 1), lambda x: regexp_replace(upper(x), '[^0-9KQ]+', '-')), lambda x: regexp_replace(x, '^(10|8)([KQ])$', '\1-\2')) AS found, coalesce(regexp_matches(question, '(?i)\b(?:compar(?:e|ed|ing|ison)|versus|vs\.?|relative\s+to)(?:\W|$)'), false) AS compares FROM q WHERE ticker IS NOT NULL),
     fo AS (SELECT qa_id, compares, list_filter(found, lambda x, i: list_position(found, x) = i) AS forms FROM fm)"""
 _COSINE = "{} AS (SELECT a.vec_id AS query, b.vec_id AS key, b.label, a.label AS own, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0)"
 
@@ -104,6 +104,8 @@ def _gaps(table, name, fields, absent=()):
 
 _PAIRS = [(a, b) for i, a in enumerate(_METRICS[2:6] + ["word_overlap_f1"]) for b in (_METRICS[2:6] + ["word_overlap_f1"])[i + 1 :]]
 
+_EVERY = "every AS (SELECT q.qa_id, txt.chunk_id, txt.filing_type, upper(trim(coalesce(txt.filing_type, ''))) AS form, coalesce(score, 0.0) AS score, forms, compares AND len(forms) > 1 AS need FROM q JOIN txt USING (ticker) JOIN fo ON fo.qa_id = q.qa_id LEFT JOIN hit ON hit.qa_id = q.qa_id AND hit.chunk_id = txt.chunk_id WHERE len(forms) = 0 OR list_contains(forms, upper(trim(txt.filing_type))))"
+
 ORACLE = {
     "chunk_documents": f"""
         WITH t AS (SELECT doc_id, {_words('text')} AS w FROM documents), s AS (SELECT doc_id, w, list_filter(range(0, len(w), 325), lambda s: s = 0 OR s + 75 < len(w)) AS st FROM t),
@@ -128,16 +130,16 @@ ORACLE = {
     "filing_policy": f"""WITH {_FILINGS} SELECT ticker, count(DISTINCT accession_number)::BIGINT AS filings, count(*) FILTER (filed IS NULL OR filed > DATE '2026-07-14')::BIGINT AS late,
         count(DISTINCT accession_number) FILTER (filing_type = '10-K') = 1 AND count(DISTINCT accession_number) FILTER (filing_type = '10-Q') = 1 AND count(DISTINCT accession_number) FILTER (filing_type = '8-K') = 1 AND count(DISTINCT accession_number) = 3 AND late = 0 AS policy_met FROM f GROUP BY ticker""",
     "last_written": f"WITH {_RESULTS} SELECT run_fingerprint, qa_id, retriever, status, regexp_replace(regexp_replace(recorded_at::VARCHAR, '(\\.\\d*?)0+$', '\\1'), '\\.$', '') AS recorded_at FROM r",
-    "resume_worklist": f"""WITH {_QUESTIONS}, run AS (SELECT DISTINCT run_fingerprint, {_ticker('ticker')} AS ticker FROM eval_results), w AS (SELECT run.run_fingerprint, q.qa_id, v.retriever FROM q JOIN run USING (ticker), (VALUES ('bm25'), ('faiss')) v(retriever))
-        SELECT run_fingerprint, qa_id, retriever FROM w ANTI JOIN (SELECT * FROM eval_results WHERE status = 'ok') o USING (run_fingerprint, qa_id, retriever)""",
+    "resume_worklist": f"""WITH {_QUESTIONS}, {_RESULTS}, run AS (SELECT DISTINCT run_fingerprint, {_ticker('ticker')} AS ticker FROM eval_results), w AS (SELECT run.run_fingerprint, q.qa_id, v.retriever FROM q JOIN run USING (ticker), (VALUES ('bm25'), ('faiss')) v(retriever))
+        SELECT run_fingerprint, qa_id, retriever FROM w ANTI JOIN (SELECT * FROM r WHERE status = 'ok') o USING (run_fingerprint, qa_id, retriever)""",
     "union_unique": "SELECT accession_number, count(*)::BIGINT AS rows, count(DISTINCT t)::BIGINT AS tables FROM (SELECT accession_number, 'f' AS t FROM filings UNION ALL SELECT accession_number, 'm' FROM cleaning_manifest) GROUP BY accession_number",
     "manifest_gaps": "SELECT DISTINCT accession_number FROM chunks WHERE accession_number IS NULL OR accession_number NOT IN (SELECT accession_number FROM cleaning_manifest WHERE accession_number IS NOT NULL)",
     "set_operations": f"WITH c AS (SELECT DISTINCT {_ticker('ticker')} AS ticker, filing_type FROM chunks), f AS (SELECT DISTINCT {_ticker('ticker')} AS ticker, filing_type FROM filings) SELECT *, 'both' AS side FROM (SELECT * FROM c INTERSECT SELECT * FROM f) UNION ALL SELECT *, 'chunks' FROM (SELECT * FROM c EXCEPT SELECT * FROM f) UNION ALL SELECT *, 'filings' FROM (SELECT * FROM f EXCEPT SELECT * FROM c)",
     "bm25_topk": f"WITH {_BM25}, a AS (SELECT q.qa_id, rec.chunk_id, coalesce(score, 0.0) AS score FROM q JOIN rec USING (ticker) LEFT JOIN hit ON hit.qa_id = q.qa_id AND hit.chunk_id = rec.chunk_id) SELECT qa_id, chunk_id, score, row_number() OVER (PARTITION BY qa_id ORDER BY score DESC, chunk_id)::INT AS rank FROM a QUALIFY rank <= 5",
     "bm25_term_stats": f"WITH {_BM25} SELECT ticker, term, df::BIGINT AS df, n::BIGINT AS n, round(avgdl, 6) AS avgdl, round(idf, 6) AS idf FROM term",
-    "bm25_topk_filtered": f"WITH {_BM25}, {_FORMS} SELECT qa_id, chunk_id, filing_type, score, row_number() OVER (PARTITION BY qa_id ORDER BY score DESC, chunk_id)::INT AS rank FROM hit JOIN (SELECT chunk_id, filing_type FROM txt) USING (chunk_id) JOIN fo USING (qa_id) WHERE len(forms) = 0 OR list_contains(forms, filing_type) QUALIFY rank <= 5",
-    "bm25_topk_reserved": f"""WITH {_BM25}, {_FORMS}, a AS (SELECT hit.qa_id, chunk_id, txt.filing_type, score, forms, compares AND len(forms) > 1 AS need, row_number() OVER (PARTITION BY hit.qa_id ORDER BY score DESC, chunk_id) AS rank, row_number() OVER (PARTITION BY hit.qa_id, txt.filing_type ORDER BY score DESC, chunk_id) AS best FROM hit JOIN txt USING (chunk_id) JOIN fo ON fo.qa_id = hit.qa_id WHERE len(forms) = 0 OR list_contains(forms, txt.filing_type)),
-        c AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY qa_id ORDER BY CASE WHEN need AND best = 1 THEN list_position(forms, filing_type) ELSE 1000000 END, rank) <= 5)
+    "bm25_topk_filtered": f"WITH {_BM25}, {_FORMS}, {_EVERY} SELECT qa_id, chunk_id, filing_type, score, row_number() OVER (PARTITION BY qa_id ORDER BY score DESC, chunk_id)::INT AS rank FROM every QUALIFY rank <= 5",
+    "bm25_topk_reserved": f"""WITH {_BM25}, {_FORMS}, {_EVERY}, a AS (SELECT *, row_number() OVER (PARTITION BY qa_id ORDER BY score DESC, chunk_id) AS rank, row_number() OVER (PARTITION BY qa_id, form ORDER BY score DESC, chunk_id) AS best FROM every),
+        c AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY qa_id ORDER BY CASE WHEN need AND best = 1 THEN list_position(forms, form) ELSE 1000000 END, rank) <= 5)
         SELECT qa_id, chunk_id, filing_type, score, row_number() OVER (PARTITION BY qa_id ORDER BY rank)::INT AS place FROM c""",
     "constraint_inference": f"WITH {_QUESTIONS}, {_FORMS} SELECT qa_id, array_to_string(forms, ',') AS forms, compares, compares AND len(forms) > 1 AS require_each FROM fo",
     "dense_topk": f"WITH {_COSINE.format('c')} SELECT query, key, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, key)::INT AS rank FROM c QUALIFY rank <= 5",
@@ -173,7 +175,7 @@ ORACLE = {
     "category_deltas": f"WITH {_DELTA} SELECT category, metric, count(*)::BIGINT AS n, round(avg(delta), 6) AS mean_delta, round(avg(delta) / CASE metric WHEN 'cosine_sim' THEN 2.0 WHEN 'llm_score' THEN 4.0 ELSE 1.0 END, 6) AS normalized_delta FROM dl GROUP BY category, metric",
     "pipe_lists": f"WITH {_RESULTS}, p AS (SELECT *, {_pipes('retrieved_doc_ids')} AS ds FROM r) SELECT run_fingerprint, qa_id, retriever, len({_pipes('retrieved_chunk_ids')})::INT AS chunks, array_to_string(list_filter(ds, lambda x, i: list_position(ds, x) = i), ';') AS docs, coalesce(round(list_sum(list_transform({_pipes('retrieval_scores')}, lambda x: coalesce(try_cast(x AS DOUBLE), 0.0))), 4), 0.0) AS score_sum FROM p",
     "identifiers": f"""WITH {_CHUNKS} SELECT chunk_id, CASE WHEN regexp_full_match({_strip('cik')}, '[0-9]+') THEN lpad(coalesce(nullif(regexp_replace({_strip('cik')}, '^0+', ''), ''), '0'), 10, '0') ELSE {_strip('cik')} END AS cik10,
-        concat_ws('_', lower(ticker), regexp_replace(accession_number, '[^A-Za-z0-9]+', '', 'g'), lpad(chunk_index::VARCHAR, 4, '0')) AS made_id, concat_ws('_', ticker, {_strip('filing_type')}, {_strip('filing_date')}) AS doc_id,
+        concat_ws('_', lower(ticker), regexp_replace(accession_number, '[^A-Za-z0-9]+', '', 'g'), lpad(chunk_index::VARCHAR, greatest(4, length(chunk_index::VARCHAR))::INT, '0')) AS made_id, concat_ws('_', ticker, {_strip('filing_type')}, {_strip('filing_date')}) AS doc_id,
         coalesce(nullif(regexp_replace(regexp_replace(company, '[^A-Za-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'unknown') AS file_name, {_filed('filing_date')}::VARCHAR AS filed FROM chunk""",
     "scoring_tokens": f"WITH {_RESULTS} SELECT run_fingerprint, qa_id, retriever, len({_TOKENS.format('llm_answer')})::INT AS tokens FROM r",
     "row_fingerprints": f"WITH {_CHUNKS} SELECT chunk_id, sha256(chunk_id || chr(31) || coalesce(text, '')) AS sha256 FROM chunk",
