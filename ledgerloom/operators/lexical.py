@@ -1,80 +1,190 @@
-"""BM25 over a corpus per partition key, for all questions at once."""
+"""BM25 over a corpus per partition key, for many questions at once, over an index that may be kept."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.functions.text import lexical_tokens
 from ledgerloom.operators.selection import top_rows
-from ledgerloom.session import cut_lineage
+from ledgerloom.operators.topk import Best, in_order
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+TOKENIZER = "lower-whitespace-v1"
+#: Questions scored by one multiplication, distinct terms of them, and weights broadcast for one pass over the corpus: about 40 MB.
+BLOCK_QUESTIONS, BLOCK_TERMS, PASS_WEIGHTS = 256, 4096, 400_000
+#: Records of a batch that are scored together.
+BATCH = 512
+
+
+def records_of(chunks: DataFrame, part: str, key: str, text: str, group: str | None = None) -> DataFrame:
+    """part, key, grp, dl, words of each chunk."""
+    words = lexical_tokens(F.col(text))
+    grp = F.col(group).cast("string") if group else F.lit(None).cast("string")
+    return chunks.select(F.col(part).alias("part"), F.col(key).alias("key"), grp.alias("grp"), words.alias("words")).withColumn("dl", F.size("words"))
 
 
-def fit(chunks: DataFrame, part: str, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(postings: part, key, term, tf, dl), (records: part, key, pos, dl), (terms: part, term, df, n, avgdl, idf).
+def terms_of(records: DataFrame) -> DataFrame:
+    """part, term, df, n, avgdl, idf.
 
-    ``pos`` is the order of the key in its part. The idf of terms in more than
-    half of the records, below nought, is a quarter of the mean of all.
+    The idf of terms in more than half of the records, below nought, is a
+    quarter of the mean of all.
     """
-    tokens = chunks.select(F.col(part).alias("part"), F.col(key).alias("key"), lexical_tokens(F.col(text)).alias("w"))
-    # the index: tokens and postings are made once and read by every step below
-    tokens = cut_lineage(tokens.withColumn("dl", F.size("w")))
-    postings = tokens.select("part", "key", "dl", F.explode("w").alias("term")).groupBy("part", "key", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    postings = cut_lineage(postings)
-    records = tokens.select("part", "key", "dl").withColumn("pos", F.row_number().over(Window.partitionBy("part").orderBy("key")))
     totals = records.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    raw = postings.groupBy("part", "term").agg(F.count(F.lit(1)).alias("df")).join(totals, "part").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    df = records.select("part", F.explode(F.array_distinct("words")).alias("term")).groupBy("part", "term").agg(F.count(F.lit(1)).alias("df"))
+    raw = df.join(totals, "part").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = raw.groupBy("part").agg((EPSILON * F.avg("raw")).alias("floor"))
-    terms = raw.join(floor, "part").select("part", "term", "df", "n", "avgdl", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    return postings, records, terms
+    return raw.join(floor, "part").select("part", "term", "df", "n", "avgdl", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
 
 
-def scores(questions: DataFrame, chunks: DataFrame, part: str, key: str, text: str, query: str, question: str) -> tuple[DataFrame, DataFrame]:
-    """((query, key, score, pos) of the records that share a term with the question, the records)."""
-    postings, records, terms = fit(chunks, part, key, text)
-    asked = questions.select(F.col(query).alias("query"), F.col(part).alias("part"), F.explode(lexical_tokens(F.col(question))).alias("term")).groupBy("query", "part", "term").agg(F.count(F.lit(1)).alias("times"))
-    # questions are the small side: their terms cut postings and statistics down before anything is scored
-    weights = asked.join(terms, ["part", "term"])
-    hit = weights.join(postings, ["part", "term"])
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    summed = hit.groupBy("query", "part", "key").agg(F.round(F.sum(F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / norm), 6).alias("score"))
-    return cut_lineage(summed), records
+def source_fingerprint(chunks: DataFrame, part: str, key: str, text: str, group: str | None = None) -> dict[str, str]:
+    """What tells whether an index still is of these chunks: their number and a hash of all, independent of their order."""
+    r = chunks.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(part, key, text, *([group] if group else [])).cast("decimal(38,0)")).alias("h")).first()
+    return {"chunks": str(r.n), "content": str(r.h)}
 
 
-def filled(asked: DataFrame, summed: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """query, key, grp, score: every hit of ``summed`` in the groups a question allows, and of each group with fewer than ``k`` hits of nought or more the first others, which score 0, as many as ``k`` places may need.
+def settings() -> dict:
+    return {"retriever": "bm25", "tokenizer": TOKENIZER, "k1": K1, "b": B, "epsilon": EPSILON}
 
-    ``asked``: query, part, forms (allowed groups, all where that is empty);
-    ``members``: part, key, grp of all records. Ties among records that score 0
-    go to the one that comes first.
-    """
-    allowed = (F.size("forms") == 0) | F.coalesce(F.array_contains("forms", F.col("grp")), F.lit(False))
-    # records without a group make one
-    placed = members.select("part", "key", "grp", F.coalesce("grp", F.lit("")).alias("g"))
-    hits = summed.join(placed, ["part", "key"]).join(asked.select("query", "forms"), "query").where(allowed)
-    counted = hits.groupBy("query", "g").agg(F.count_if(F.col("score") < 0).alias("below"), F.count(F.lit(1)).alias("hits"))
-    groups = placed.select("part", "grp", "g").distinct()
-    short = asked.join(groups, "part").where(allowed).join(counted, ["query", "g"], "left").withColumn("need", F.lit(k) + F.coalesce("hits", F.lit(0))).where(F.coalesce(F.col("hits") - F.col("below"), F.lit(0)) < k)
-    ordered = placed.withColumn("pos", F.row_number().over(Window.partitionBy("part", "g").orderBy("key")))
-    fill = short.select("query", "part", "g", "need").distinct().join(ordered, ["part", "g"]).where(F.col("pos") <= F.col("need")).join(summed.select("query", "part", "key"), ["query", "part", "key"], "left_anti")
-    return hits.select("query", "key", "grp", "score").unionByName(fill.select("query", "key", "grp", F.lit(0.0).alias("score")))
 
+def build_index(chunks: DataFrame, part: str, key: str, text: str, path: str, group: str | None = None) -> dict:
+    """Writes the index of ``chunks`` to ``path``: its records, its terms and, last, a manifest of the settings and of what it was built from. An index there is replaced."""
+    from ledgerloom.sources import index_store
 
-def ranked(questions: DataFrame, chunks: DataFrame, part: str, key: str, text: str, query: str, question: str, k: int) -> DataFrame:
-    """query, key, score, rank of the best ``k`` records of each question's part.
+    def write(folder: str) -> None:
+        records = records_of(chunks, part, key, text, group)
+        records.write.parquet(f"{folder}/records")
+        terms_of(chunks.sparkSession.read.parquet(f"{folder}/records")).write.parquet(f"{folder}/terms")
+
+    return index_store.build(chunks.sparkSession, path, settings() | source_fingerprint(chunks, part, key, text, group), write)
+
+
+def load_index(spark: SparkSession, path: str, expected: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, terms) of an index; one of other settings, or of other chunks than ``expected`` (``source_fingerprint``), raises an error."""
+    from ledgerloom.sources import index_store
+
+    index_store.check(spark, path, settings() | (expected or {}))
+    return spark.read.parquet(f"{path}/records"), spark.read.parquet(f"{path}/terms")
+
+
+def _blocks(rows) -> list[tuple]:
+    """(part, mean length, queries, allowed, terms, weights as terms x queries) of rows (query, part, allowed, term, weight, avgdl), in blocks of bounded size."""
+    asked: dict = {}
+    for r in rows:
+        asked.setdefault((r.part, r.query), (frozenset(r.allowed or ()), []))[1].append((r.term, r.weight, r.avgdl))
+    done, being_filled = [], {}
+    for (part, query), (allowed, weights) in sorted(asked.items(), key=lambda kv: (str(kv[0][0]), str(kv[0][1]))):
+        weights = [w for w in weights if w[0] is not None]
+        block = being_filled.get(part)
+        if block is None or len(block["queries"]) >= BLOCK_QUESTIONS or len(block["terms"].keys() | {t for t, _, _ in weights}) > BLOCK_TERMS:
+            block = being_filled[part] = {"part": part, "mean": 1.0, "queries": [], "allowed": [], "terms": {}, "entries": []}
+            done.append(block)
+        for term, weight, mean in weights:
+            block["entries"].append((block["terms"].setdefault(term, len(block["terms"])), len(block["queries"]), weight))
+            block["mean"] = mean
+        block["queries"].append(query)
+        block["allowed"].append(allowed)
+    out = []
+    for b in done:
+        weights = np.zeros((len(b["terms"]), len(b["queries"])))
+        for i, j, w in b["entries"]:
+            weights[i, j] = w
+        out.append((b["part"], b["mean"], b["queries"], b["allowed"], pa.array(list(b["terms"]), pa.string()), weights))
+    return out
 
-    Ties go to the record that comes first; records without a term of the
-    question score 0 and fill up. Scores are rounded to six places.
+
+def best_of_index(records: DataFrame, terms: DataFrame, questions: DataFrame, k: int, per_group: bool = False) -> DataFrame:
+    """query, key, grp, score of the best ``k`` records of each question's part, all of which are ranked: those without a term of the question score 0.
+
+    ``questions``: query, part, question, allowed (array<string>: groups that
+    count; all where it is empty or null). Groups are compared, and given, in
+    upper case without padding. With ``per_group`` the best ``k`` of each group
+    are kept. Ties go to the smaller key. Scores are rounded to six places.
+
+    Questions are taken in blocks, as many at a time as ``PASS_WEIGHTS`` of their
+    terms allow; a task keeps the best of its records, so ``k`` rows a task and
+    question are shuffled, and never a row for each question and record. Records
+    of a large part are in as many tasks as they are read by.
     """
-    summed, records = scores(questions, chunks, part, key, text, query, question)
-    below = summed.groupBy("query").agg(F.count_if(F.col("score") < 0).alias("below"), F.count(F.lit(1)).alias("hits"))
-    asked = questions.select(F.col(query).alias("query"), F.col(part).alias("part")).join(below, "query", "left")
-    # only questions with fewer than k records above nought need others, and the first k without a hit do
-    short = asked.withColumn("need", F.lit(k) + F.coalesce("hits", F.lit(0))).where(F.coalesce(F.col("hits") - F.col("below"), F.lit(0)) < k)
-    fill = short.join(records.select("part", "key", "pos"), "part").where(F.col("pos") <= F.col("need")).select("query", "part", "key").join(summed.select("query", "part", "key"), ["query", "part", "key"], "left_anti").withColumn("score", F.lit(0.0))
-    every = summed.unionByName(fill)
-    best = top_rows(every, ["query"], [F.desc("score"), F.asc("key")], k)
+    spark = records.sparkSession
+    asked = questions.where("part IS NOT NULL").select("query", "part", F.transform(F.coalesce("allowed", F.array().cast("array<string>")), lambda f: F.upper(F.trim(f))).alias("allowed"), F.explode_outer(lexical_tokens(F.col("question"))).alias("term"))
+    times = asked.groupBy("query", "part", "allowed", "term").agg(F.count(F.lit(1)).alias("times"))
+    # questions are the small side: their terms cut the statistics down
+    known = times.join(terms.select("part", "term", "idf", "avgdl"), ["part", "term"], "left")
+    weighted = known.select("query", "part", "allowed", F.when(F.col("idf").isNotNull(), F.col("term")).alias("term"), (F.col("times") * F.col("idf") * (K1 + 1)).alias("weight"), "avgdl").persist()
+    schema = f"query {dict(questions.dtypes)['query']}, key {dict(records.dtypes)['key']}, grp string, score double"
+    passes = max(1, -(-weighted.count() // PASS_WEIGHTS))
+    found = []
+    for p in range(passes):
+        rows = weighted.where(F.pmod(F.xxhash64("query"), F.lit(passes)) == p).collect()  # about PASS_WEIGHTS
+        if rows:
+            found.append(_score(records, _blocks(rows), k, per_group, schema))
+    weighted.unpersist()
+    if not found:
+        return spark.createDataFrame([], schema)
+    return top_rows(reduce(DataFrame.unionByName, found), ["query", "grp"] if per_group else ["query"], [F.desc("score"), F.asc("key")], k)
+
+
+def _score(records: DataFrame, blocks: list[tuple], k: int, per_group: bool, schema: str) -> DataFrame:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    held = records.sparkSession.sparkContext.broadcast(blocks)
+    wanted = to_arrow_schema(_parse_datatype_string(schema))
+    limited = any(any(b[3]) for b in blocks)
+    source = records.select("part", "key", F.upper(F.trim("grp")).alias("grp"), F.col("dl").cast("double").alias("dl"), "words")
+
+    def run(batches):
+        blocks = held.value
+        by_part: dict = {}
+        first, names = [], []
+        for b in blocks:
+            by_part.setdefault(b[0], []).append(len(first))
+            first.append(len(names))
+            names += b[2]
+        best = Best(k, per_group)
+        for large in batches:
+            for at in range(0, large.num_rows, BATCH):
+                batch = in_order(large.slice(at, BATCH), "key")
+                parts = np.array(batch.column(0).to_pylist(), dtype=object)
+                for part in dict.fromkeys(parts):
+                    numbers = by_part.get(part)
+                    if not numbers:
+                        continue
+                    rows = np.flatnonzero(parts == part)
+                    some = batch.take(pa.array(rows))
+                    keys, groups, dl = np.array(some.column(1).to_pylist(), dtype=object), np.array(some.column(2).to_pylist(), dtype=object), some.column(3).to_numpy()
+                    words = some.column(4)
+                    row = np.repeat(np.arange(len(rows)), np.diff(words.offsets.to_numpy()))
+                    flat = words.flatten()
+                    for n in numbers:
+                        _, mean, queries, allowed, terms, weights = blocks[n]
+                        if len(terms):
+                            code = pc.index_in(flat, value_set=terms)
+                            hit = np.flatnonzero(code.is_valid().to_numpy(zero_copy_only=False))
+                            cell = row[hit] * len(terms) + code.take(pa.array(hit)).to_numpy().astype(np.int64)
+                            tf = np.bincount(cell, minlength=len(rows) * len(terms)).reshape(len(rows), len(terms)).astype(np.float64)
+                            scores = np.round((tf / (tf + (K1 * (1 - B + B * dl / mean))[:, None])) @ weights, 6) + 0.0
+                        else:
+                            scores = np.zeros((len(rows), len(queries)))
+                        best.add(scores, first[n] + np.arange(len(queries)), keys, groups if limited or per_group else None, allowed if limited else None)
+        kept = best.kept()
+        if len(kept):
+            columns = {"query": [names[i] for i in kept["query"].astype(int)], "key": kept["key"].tolist(), "grp": kept["grp"].tolist() if "grp" in kept else [None] * len(kept), "score": kept["score"].tolist()}
+            yield pa.RecordBatch.from_pydict(columns, schema=wanted)
+
+    return source.mapInArrow(run, schema)
+
+
+def ranked(questions: DataFrame, chunks: DataFrame, part: str, key: str, text: str, query: str, question: str, k: int) -> DataFrame:
+    """query, key, score, rank of the best ``k`` records of each question's part, over an index made for this call."""
+    records = records_of(chunks, part, key, text)
+    asked = questions.select(F.col(query).alias("query"), F.col(part).alias("part"), F.col(question).alias("question"), F.array().cast("array<string>").alias("allowed"))
+    best = best_of_index(records, terms_of(records), asked, k)
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc("key")))).select("query", "key", "score", "rank")
