@@ -59,7 +59,22 @@ def chunk_texts(df: DataFrame, text_col: str, size: int = 400, overlap: int = 75
     return out
 
 
+def _once_and_again(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key stands once, rows whose key stands several times): only the second need to meet, so long values of the others aren't moved."""
+    again = df.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__key")
+    same = F.col(key).eqNullSafe(F.col("__key"))
+    return df.join(again, same, "left_anti"), df.join(again, same, "left_semi")
+
+
 def unique_rows(df: DataFrame, key: str) -> DataFrame:
-    """One row per key, the least of its rows; and nulls once."""
+    """One row per key, the least of its rows, and a null key once. Select the columns that are needed first: others are neither read nor compared then."""
     rest = [c for c in df.columns if c != key]
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*[F.asc_nulls_last(c) for c in rest]))).where("__n = 1").drop("__n")
+    once, again = _once_and_again(df, key)
+    least = again.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*[F.asc_nulls_last(c) for c in rest]))).where("__n = 1").drop("__n")
+    return once.unionByName(least)
+
+
+def distinct_rows(df: DataFrame, key: str) -> DataFrame:
+    """The distinct rows, of which equal ones share ``key``."""
+    once, again = _once_and_again(df, key)
+    return once.unionByName(again.distinct())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerloom.functions import text as T
 from ledgerloom.operators import chunking, cleaning, dense, lexical, profile, scoring, selection, validation
@@ -31,12 +32,12 @@ def chunk_documents(spark, d):
 
 @query
 def chunk_profile(spark, d):
-    return profile.chunk_profile(inputs.chunks(spark, d), ["ticker", "filing_type"])
+    return profile.chunk_profile(inputs.chunks(spark, d, "ticker", "filing_type", "accession_number", "word_count", "section_heading"), ["ticker", "filing_type"])
 
 
 @query
 def chunk_word_stats(spark, d):
-    return profile.describe(inputs.chunks(spark, d), F.col("word_count"), ["ticker"])
+    return profile.describe(inputs.chunks(spark, d, "ticker", "word_count"), F.col("word_count"), ["ticker"])
 
 
 @query
@@ -47,13 +48,13 @@ def length_stats(spark, d):
 
 @query
 def section_profile(spark, d):
-    return profile.section_profile(inputs.chunks(spark, d))
+    return profile.section_profile(inputs.chunks(spark, d, "section_heading", "ticker", "filing_type"))
 
 
 @query
 def missingness(spark, d):
     parts = [
-        profile.missingness(inputs.chunks(spark, d), "chunks", ["company", "ticker", "cik", "filing_date", "section_heading", "text", "word_count", "not_a_field"]),
+        profile.missingness(inputs.chunks(spark, d, "company", "ticker", "cik", "filing_date", "section_heading", "text", "word_count"), "chunks", ["company", "ticker", "cik", "filing_date", "section_heading", "text", "word_count", "not_a_field"]),
         profile.missingness(read_parquet(spark, d, "filings"), "filings", ["source_url", "human_readable_warning", "filing_date"]),
         profile.missingness(read_parquet(spark, d, "cleaning_manifest"), "cleaning_manifest", ["raw_length", "human_readable_warning", "warnings"]),
     ]
@@ -75,7 +76,7 @@ def outlier_counters(spark, d):
 def coverage(spark, d):
     """Average words, and the share of chunks with a known heading."""
     known = F.count_if(~T.is_missing(F.col("section_heading")) & (F.lower(T.strip(F.col("section_heading"))) != "unknown"))
-    return inputs.chunks(spark, d).agg(F.count(F.lit(1)).alias("chunks"), F.round(F.avg("word_count") + 1e-9, 2).alias("mean_words"), T.share(known, F.count(F.lit(1))).alias("known_heading_pct"))
+    return inputs.chunks(spark, d, "word_count", "section_heading").agg(F.count(F.lit(1)).alias("chunks"), F.round(F.avg("word_count") + 1e-9, 2).alias("mean_words"), T.share(known, F.count(F.lit(1))).alias("known_heading_pct"))
 
 
 @query
@@ -134,7 +135,7 @@ def filing_policy(spark, d):
 
 @query
 def last_written(spark, d):
-    return inputs.results(spark, d).select("run_fingerprint", "qa_id", "retriever", "status", F.col("recorded_at").cast("string").alias("recorded_at"))
+    return inputs.results(spark, d, "status").select("run_fingerprint", "qa_id", "retriever", "status", F.col("recorded_at").cast("string").alias("recorded_at"))
 
 
 @query
@@ -143,7 +144,7 @@ def resume_worklist(spark, d):
     r = read_parquet(spark, d, "eval_results")
     runs = r.select("run_fingerprint").distinct()
     asked = inputs.questions(spark, d).select("qa_id", "ticker").join(r.select("ticker", "run_fingerprint").withColumn("ticker", T.norm_ticker(F.col("ticker"))).distinct(), "ticker").join(runs, "run_fingerprint", "left_semi")
-    return selection.open_work(asked.select("run_fingerprint", "qa_id"), ["bm25", "faiss"], r, ["run_fingerprint", "qa_id"])
+    return selection.open_work(asked.select("run_fingerprint", "qa_id"), ["bm25", "faiss"], r, ["run_fingerprint", "qa_id"], ["recorded_at"])
 
 
 @query
@@ -170,64 +171,55 @@ def set_operations(spark, d):
 # retrieval
 
 
-def _bm25(spark, d, k, form=None):
-    texts = inputs.chunk_texts(spark, d)
-    asked = inputs.questions(spark, d).where("ticker IS NOT NULL").select("qa_id", "ticker", "question")
-    return lexical.ranked(asked, texts, "ticker", "chunk_id", "text", "qa_id", "question", k)
+def _asked(spark, d):
+    """query, part, question of the questions with a ticker; the forms they name, and whether each has a place."""
+    q = inputs.questions(spark, d).where("ticker IS NOT NULL").select(F.col("qa_id").alias("query"), F.col("ticker").alias("part"), "question", T.form_mentions(F.col("question")).alias("forms"), T.compares(F.col("question")).alias("compares"))
+    return q.withColumn("require_each", F.col("compares") & (F.size("forms") > 1))
+
+
+def _bm25(spark, d, k, constrained=False, per_group=False):
+    records = lexical.records_of(inputs.chunk_texts(spark, d, "filing_type"), "ticker", "chunk_id", "text", "filing_type")
+    asked = _asked(spark, d).select("query", "part", "question", (F.col("forms") if constrained else F.array().cast("array<string>")).alias("allowed"))
+    return lexical.best_of_index(records, lexical.terms_of(records), asked, k, per_group)
+
+
+def _place():
+    return F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc("key")))
 
 
 @query
 def bm25_topk(spark, d):
-    return _bm25(spark, d, K).select(F.col("query").alias("qa_id"), F.col("key").alias("chunk_id"), "score", "rank")
+    return _bm25(spark, d, K).select(F.col("query").alias("qa_id"), F.col("key").alias("chunk_id"), "score", _place().alias("rank"))
 
 
 @query
 def bm25_term_stats(spark, d):
-    _, _, terms = lexical.fit(inputs.chunk_texts(spark, d), "ticker", "chunk_id", "text")
+    terms = lexical.terms_of(lexical.records_of(inputs.chunk_texts(spark, d), "ticker", "chunk_id", "text"))
     return terms.select(F.col("part").alias("ticker"), "term", "df", "n", F.round("avgdl", 6).alias("avgdl"), F.round("idf", 6).alias("idf"))
 
 
-def _asked_forms(spark, d):
-    q = inputs.questions(spark, d).where("ticker IS NOT NULL").select("qa_id", T.form_mentions(F.col("question")).alias("forms"), T.compares(F.col("question")).alias("compares"))
-    return q.withColumn("require_each", F.col("compares") & (F.size("forms") > 1))
-
-
-def _scored_forms(spark, d):
-    summed, _ = lexical.scores(inputs.questions(spark, d).where("ticker IS NOT NULL").select("qa_id", "ticker", "question"), inputs.chunk_texts(spark, d), "ticker", "chunk_id", "text", "qa_id", "question")
-    forms = inputs.chunk_texts(spark, d).select(F.col("chunk_id").alias("key"), "filing_type")
-    return summed, forms
+def _forms_as_written(spark, d):
+    return inputs.chunks(spark, d, "filing_type").select(F.col("chunk_id").alias("key"), "filing_type")
 
 
 @query
 def bm25_topk_filtered(spark, d):
-    """The best chunks among the forms a question names, of those that share a term with it."""
-    summed, forms = _scored_forms(spark, d)
-    allowed = summed.join(forms, "key").join(_asked_forms(spark, d).select(F.col("qa_id").alias("query"), "forms"), "query").where((F.size("forms") == 0) | F.array_contains("forms", F.col("filing_type")))
-    order = [F.desc("score"), F.asc("key")]
-    from pyspark.sql.window import Window
-
-    best = selection.top_rows(allowed, ["query"], order, K)
-    return best.select(F.col("query").alias("qa_id"), F.col("key").alias("chunk_id"), "filing_type", "score", F.row_number().over(Window.partitionBy("query").orderBy(*order)).alias("rank"))
+    """The best chunks among the forms a question names."""
+    best = _bm25(spark, d, K, constrained=True).join(_forms_as_written(spark, d), "key")
+    return best.select(F.col("query").alias("qa_id"), F.col("key").alias("chunk_id"), "filing_type", "score", _place().alias("rank"))
 
 
 @query
 def bm25_topk_reserved(spark, d):
-    """As filtered, with a place for each form that a comparing question names."""
-    from pyspark.sql.window import Window
-
-    summed, forms = _scored_forms(spark, d)
-    every = Window.partitionBy("query", "filing_type").orderBy(F.desc("score"), F.asc("key"))
-    # of each form no more than the best k can be chosen
-    near = summed.join(forms, "key").withColumn("in_form", F.row_number().over(every)).where(F.col("in_form") <= K)
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc("key"))))
-    asked = _asked_forms(spark, d).select(F.col("qa_id").alias("query"), "forms", "require_each")
-    chosen = selection.reserved_top_k(ranked.join(asked, "query"), "query", "filing_type", "rank", K, "forms", "require_each")
-    return chosen.select(F.col("query").alias("qa_id"), F.col("key").alias("chunk_id"), "filing_type", "score", "place")
+    """As filtered, with a place for each form that a comparing question names: the best k of each form hold every choice."""
+    best = _bm25(spark, d, K, constrained=True, per_group=True).withColumn("rank", _place())
+    chosen = selection.reserved_top_k(best.join(_asked(spark, d).select("query", "forms", "require_each"), "query"), "query", "grp", "rank", K, "forms", "require_each")
+    return chosen.join(_forms_as_written(spark, d), "key").select(F.col("query").alias("qa_id"), F.col("key").alias("chunk_id"), "filing_type", "score", "place")
 
 
 @query
 def constraint_inference(spark, d):
-    return _asked_forms(spark, d).select("qa_id", F.array_join("forms", ",").alias("forms"), "compares", "require_each")
+    return _asked(spark, d).select(F.col("query").alias("qa_id"), F.array_join("forms", ",").alias("forms"), "compares", "require_each")
 
 
 def _vectors(spark, d):
@@ -251,8 +243,6 @@ def dense_topk_filtered(spark, d):
 @query
 def dense_topk_reserved(spark, d):
     """A place for the best row of each wanted label."""
-    from pyspark.sql.window import Window
-
     e, q = _vectors(spark, d)
     best = dense.dense_top_k(e, "vec_id", "embedding", q, "vec_id", "embedding", K, group="label", allowed="wanted", per_group=True)
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc("key"))))
@@ -276,13 +266,13 @@ def neighbour_cosine(spark, d):
 @query
 def prompt_context(spark, d):
     """The retrieved chunks of each question as the context of a prompt."""
-    c = inputs.chunks(spark, d).select(F.col("chunk_id").alias("key"), "filing_type", "filing_date", F.coalesce("section_heading", F.lit("unknown")).alias("section_heading"), "text")
-    return scoring.prompt_context(_bm25(spark, d, 2).join(c, "key"), "query").select(F.col("query").alias("qa_id"), F.length("context").alias("length"), F.md5("context").alias("context_md5"))
+    c = inputs.chunks(spark, d, "filing_type", "filing_date", "section_heading", "text").select(F.col("chunk_id").alias("key"), "filing_type", "filing_date", F.coalesce("section_heading", F.lit("unknown")).alias("section_heading"), "text")
+    return scoring.prompt_context(_bm25(spark, d, 2).withColumn("rank", _place()).join(c, "key"), "query").select(F.col("query").alias("qa_id"), F.length("context").alias("length"), F.md5("context").alias("context_md5"))
 
 
 @query
 def embedding_documents(spark, d):
-    c = inputs.chunks(spark, d).where("text IS NOT NULL")
+    c = inputs.chunks(spark, d, "company", "ticker", "filing_type", "filing_date", "section_heading", "text").where("text IS NOT NULL")
     return c.select("chunk_id", F.md5(scoring.embedding_document()).alias("document_md5"))
 
 
@@ -334,7 +324,7 @@ def token_f1(spark, d):
 
 @query
 def status_derivation(spark, d):
-    r = inputs.results(spark, d)
+    r = inputs.results(spark, d, "retrieval_status", "generation_status", "status")
     return r.groupBy("retrieval_status", "generation_status", "status", scoring.overall_status(F.col("retrieval_status"), F.col("generation_status")).alias("derived")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -351,7 +341,7 @@ def metric_availability(spark, d):
 
 @query
 def outcome_counts(spark, d):
-    return profile.outcomes(inputs.results(spark, d), ["retriever"])
+    return profile.outcomes(inputs.results(spark, d, "status"), ["retriever"])
 
 
 @query
@@ -393,7 +383,7 @@ def pipe_lists(spark, d):
 
 @query
 def identifiers(spark, d):
-    c = inputs.chunks(spark, d)
+    c = inputs.chunks(spark, d, "cik", "ticker", "accession_number", "chunk_index", "filing_type", "filing_date", "company")
     return c.select("chunk_id", T.pad_cik(F.col("cik")).alias("cik10"), T.chunk_id(F.col("ticker"), F.col("accession_number"), F.col("chunk_index")).alias("made_id"), T.doc_id(F.col("ticker"), F.col("filing_type"), F.col("filing_date")).alias("doc_id"), T.safe_name(F.col("company")).alias("file_name"), T.parse_date(F.col("filing_date")).cast("string").alias("filed"))
 
 
@@ -405,7 +395,7 @@ def scoring_tokens(spark, d):
 
 @query
 def row_fingerprints(spark, d):
-    c = inputs.chunks(spark, d)
+    c = inputs.chunks(spark, d, "text")
     return c.select("chunk_id", F.sha2(F.concat_ws("\u001f", "chunk_id", F.coalesce("text", F.lit(""))), 256).alias("sha256"))
 
 
@@ -413,7 +403,7 @@ def row_fingerprints(spark, d):
 def sequence_fingerprints(spark, d):
     """The ids of each filing in order, as one hash."""
     ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id"))), lambda s: s["chunk_id"]), "|")
-    return inputs.chunks(spark, d).groupBy("accession_number").agg(F.sha2(ordered, 256).alias("sha256"), F.count(F.lit(1)).alias("chunks"))
+    return inputs.chunks(spark, d, "accession_number", "chunk_index").groupBy("accession_number").agg(F.sha2(ordered, 256).alias("sha256"), F.count(F.lit(1)).alias("chunks"))
 
 
 # cleaning
@@ -433,7 +423,7 @@ def normal_lines(spark, d):
 @query
 def item_headings(spark, d):
     """Headings of chunks in their display form."""
-    h = inputs.chunks(spark, d).where("section_heading IS NOT NULL").select("section_heading").distinct().withColumn("line", T.squeeze(F.col("section_heading")))
+    h = read_parquet(spark, d, "chunks").where("section_heading IS NOT NULL").select("section_heading").distinct().withColumn("line", T.squeeze(F.col("section_heading")))
     return h.select("section_heading", cleaning.item_number(F.col("line")).alias("number"), cleaning.item_heading(F.col("line")).alias("heading"))
 
 
@@ -455,7 +445,7 @@ def quality_warnings(spark, d):
 @query
 def section_windows(spark, d):
     """Filings put together from their chunks, cleaned, cut into sections and windows again."""
-    whole = inputs.chunks(spark, d).where("text IS NOT NULL").groupBy("accession_number").agg(F.min("ticker").alias("ticker"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", F.concat(F.lit("## "), F.coalesce(F.nullif(T.squeeze(F.col("section_heading")), F.lit("")), F.lit("unknown")), F.lit("\n"), F.col("text")).alias("t")))), lambda s: s["t"]), "\n").alias("whole"))
+    whole = inputs.chunks(spark, d, "accession_number", "ticker", "chunk_index", "section_heading", "text").where("text IS NOT NULL").groupBy("accession_number").agg(F.min("ticker").alias("ticker"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", F.concat(F.lit("## "), F.coalesce(F.nullif(T.squeeze(F.col("section_heading")), F.lit("")), F.lit("unknown")), F.lit("\n"), F.col("text")).alias("t")))), lambda s: s["t"]), "\n").alias("whole"))
     out = chunking.chunk_texts(whole, "whole")
     return out.select("accession_number", "chunk_index", "chunk_id", "section_heading", "word_count", F.md5("text").alias("text_md5"))
 

@@ -14,15 +14,16 @@ from ledgerloom.sources.tables import read_parquet
 CUTOFF = "2026-07-14"
 
 
-def chunks(spark: SparkSession, d: str) -> DataFrame:
-    """One row per chunk, tickers in upper case."""
-    return unique_rows(read_parquet(spark, d, "chunks"), "chunk_id").withColumn("ticker", norm_ticker(F.col("ticker")))
+def chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """One row per chunk with ``columns``, or all; tickers in upper case."""
+    read = read_parquet(spark, d, "chunks")
+    some = unique_rows(read.select("chunk_id", *[c for c in columns if c != "chunk_id"]) if columns else read, "chunk_id")
+    return some.withColumn("ticker", norm_ticker(F.col("ticker"))) if "ticker" in some.columns else some
 
 
-def chunk_texts(spark: SparkSession, d: str) -> DataFrame:
-    """ticker, chunk_id, filing_type and text of chunks with a ticker and a text."""
-    some = read_parquet(spark, d, "chunks").select("ticker", "chunk_id", "filing_type", "text")
-    return unique_rows(some.withColumn("ticker", norm_ticker(F.col("ticker"))).where("ticker IS NOT NULL AND text IS NOT NULL"), "chunk_id")
+def chunk_texts(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """chunk_id, ticker, text and ``columns`` of the chunks with a ticker and a text."""
+    return chunks(spark, d, "ticker", "text", *columns).where("ticker IS NOT NULL AND text IS NOT NULL")
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
@@ -35,9 +36,11 @@ def filings(spark: SparkSession, d: str) -> DataFrame:
     return first.withColumns({"ticker": norm_ticker(F.col("ticker")), "filed": parse_date(F.col("filing_date"))})
 
 
-def results(spark: SparkSession, d: str) -> DataFrame:
-    """The last result of each pair."""
-    return last_written(read_parquet(spark, d, "eval_results"), ["run_fingerprint", "qa_id", "retriever"], ["recorded_at"])
+def results(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The last result of each pair, with ``columns`` or all; rows of a pair written at one time are copies or decided by ``columns``."""
+    keys, order = ["run_fingerprint", "qa_id", "retriever"], ["recorded_at"]
+    read = read_parquet(spark, d, "eval_results")
+    return last_written(read.select(*keys, *order, *[c for c in columns if c not in (*keys, *order)]) if columns else read, keys, order)
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:

@@ -80,26 +80,25 @@ def evaluate(spark: SparkSession, questions: DataFrame, chunks: DataFrame, log:
     validation.assert_clean(validation.eval_violations(questions).where("metric NOT IN ('answer_missing')"))
     schema = tables.RESULT + ", attempt long"
     before = spark.read.schema(schema).json(log) if Path(log).exists() else spark.createDataFrame([], schema)
-    work = selection.open_work(questions, retrievers, before.where(F.col("run_fingerprint") == run), ["qa_id"])
+    work = selection.open_work(questions, retrievers, before.where(F.col("run_fingerprint") == run), ["qa_id"], ["attempt"])
     forms = T.form_mentions(F.col("question"))
     asked = work.withColumns({"ticker": T.norm_ticker(F.col("ticker")), "forms": forms, "each": T.compares(F.col("question")) & (F.size(forms) > 1)})
     found = []
     if "bm25" in retrievers:
         wanted = asked.where("retriever = 'bm25'")
-        summed, _ = lexical.scores(wanted, chunks, "ticker", "chunk_id", "text", "qa_id", "question")
-        members = chunks.select(F.col("ticker").alias("part"), F.col("chunk_id").alias("key"), F.col("filing_type").alias("grp"))
-        places = lexical.filled(wanted.select(F.col("qa_id").alias("query"), F.col("ticker").alias("part"), "forms"), summed, members, k)
-        found.append(places.select(F.col("query").alias("qa_id"), F.col("key").alias("chunk_id"), "score", F.lit("bm25").alias("retriever")))
+        records = lexical.records_of(chunks, "ticker", "chunk_id", "text", "filing_type")
+        best = lexical.best_of_index(records, lexical.terms_of(records), wanted.select(F.col("qa_id").alias("query"), F.col("ticker").alias("part"), "question", F.col("forms").alias("allowed")), k, per_group=True)
+        found.append(best.select(F.col("query").alias("qa_id"), F.col("key").alias("chunk_id"), "score", F.lit("bm25").alias("retriever")))
     failed = []
     if "faiss" in retrievers:
         if embed is None:
             failed.append("faiss")
         else:
-            kinds = [r.filing_type for r in chunks.select("filing_type").distinct().orderBy("filing_type").limit(1000).collect() if r.filing_type]  # a few forms
-            part = lambda form: F.concat_ws("|", "ticker", form)
+            part = lambda form: F.concat_ws("|", "ticker", F.upper(F.trim(form)))
             rows = apply_provider(chunks.withColumn("__d", scoring.embedding_document()), "__d", "vector", "array<float>", embed).select("chunk_id", part(F.col("filing_type")).alias("part"), "vector")
             qs = apply_provider(asked.where("retriever = 'faiss'"), "question", "vector", "array<float>", embed)
-            qs = qs.withColumn("own", F.transform(F.when(F.size("forms") > 0, F.col("forms")).otherwise(F.array(*[F.lit(x) for x in kinds])), part))
+            kinds = chunks.groupBy("ticker").agg(F.collect_set(F.upper(F.trim("filing_type"))).alias("kinds"))
+            qs = qs.join(kinds, "ticker", "left").withColumn("own", F.transform(F.when(F.size("forms") > 0, F.col("forms")).otherwise(F.coalesce("kinds", F.array().cast("array<string>"))), part))
             # the best k of each form of the ticker hold the best k of any choice of forms
             hits = dense.dense_top_k(rows, "chunk_id", "vector", qs, "qa_id", "vector", k, group="part", allowed="own", per_group=True)
             found.append(hits.select(F.col("query").alias("qa_id"), F.col("key").alias("chunk_id"), "score", F.lit("faiss").alias("retriever")))
