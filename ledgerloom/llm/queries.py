@@ -8,6 +8,7 @@ from ledgerloom.llm import encoding, lookalike, mixing, near_duplicates, repeate
 from ledgerloom.llm.common import table
 
 QUERIES = {}
+PAIR = ["run_fingerprint", "qa_id", "retriever"]
 
 
 def query(f):
@@ -98,7 +99,15 @@ def p6_clean(spark, d):
 @query
 def p7_found(spark, d):
     rows = table(spark, d, "eval_results").where("status = 'ok'")
-    return responses.defective_pairs(rows, ["run_fingerprint", "qa_id", "retriever"], "question", "llm_answer", "answerable")
+    return responses.defective_pairs(rows, PAIR, "question", "llm_answer", "answerable", "ground_truth", table(spark, d, "documents"))
+
+
+@query
+def p7_evidence(spark, d):
+    """The defective pairs by defect and by what decided."""
+    rows = table(spark, d, "eval_results").where("status = 'ok'")
+    judged = responses.judged_pairs(rows, PAIR, "question", "llm_answer", "answerable", "ground_truth", table(spark, d, "documents"))
+    return judged.groupBy("defect", "evidence").agg(F.count(F.lit(1)).alias("pairs"))
 
 
 @query

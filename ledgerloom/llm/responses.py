@@ -1,40 +1,33 @@
 """Problem 7: broken prompt and response pairs, with the kind of their defect.
 
-Responses are sorted by question and text and each is compared with its
-neighbours: in the sorted order, those that continue a response stand just
-behind it. Lengths at which unfinished responses pile up show a length limit.
-An ending that surely goes on tells a truncated response alone; where the ending
-leaves it open, or looks whole but another response goes on within the sentence
-or figure, the neighbours and limits decide. Rules on copies, refusals and
-languages tell the other defects.
+Responses are sorted by question and text, and so are the sentences and lines
+that responses end in, without their names and figures, among all sentences and
+lines of responses and ground truths. In the sorted order those that continue a
+text stand just behind it: a response that another response or the ground truth
+of its question continues within the sentence, and a last sentence that others
+continue but none is complete with, is truncated. Lengths at which such
+responses pile up show a length limit and decide for endings no other text
+tells about; what is left is judged by its ending. Rules on copies, refusals and
+languages tell the other defects: the wording of refusals is that of the
+responses to questions that can't be answered, languages are learned from
+labelled texts.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ledgerloom.llm import languages
 from ledgerloom.llm.common import map_arrow
 from ledgerloom.llm.truncation import ABBREVIATED, OPEN_WORDS
 from ledgerloom.session import cut_lineage
 
-# fixed values: frequent words that tell a language
-LANGUAGE_WORDS = {
-    "en": "the of and to in is was for that with by from our we are as on at not which may what how does did be this an have has were its it or than could would yes no can cannot if about about their per will shall during before after there",
-    "fr": "le la les des du de et un une est en que qui dans pour par sur au aux avec a été ont ne pas plus ce cette son sa ses nous quels quelle comment il elle société l d s",
-    "de": "der die das den dem des und ein eine einer einem ist in von zu mit auf für im sich nicht wurde werden hat haben rund davon um vor nach über als wie wir bei durch an aus welche gegenüber",
-    "es": "el la los las de del y un una en que por para con se es su sus al lo como más fue han sobre no qué cómo entre desde durante hasta cuáles",
-    "pt": "o a os as de do da dos das e um uma em no na que por para com se é seu sua ao como mais foi são não sobre quais pelo pela entre até cerca",
-    "it": "il lo la i gli le di del della dei e un una in nel che per con si è sono da al alla come più non su dal quali",
-    "nl": "de het een en van in is dat op te met voor zijn niet aan er om door bij uit ook als naar over wat hoe wordt werd",
-    "ru": "и в не на что с по как к из за от для о при или он она это были был рублей может",
-}
-_LANGUAGE_SETS = {k: frozenset(v.split()) for k, v in LANGUAGE_WORDS.items()}
 # fixed values: contents that say nothing
 EMPTY_WORDS = frozenset("none null nil nan na n/a undefined empty blank tbd missing unknown answer sources source response output".split())
 # fixed values: openings of refusals
@@ -48,7 +41,6 @@ _REFUSAL = re.compile(
     | ^\W*(?:there\s+is\s+)?(?:insufficient|not\s+enough|no(?:\s+relevant)?)\s+(?:information|context|evidence|data|detail)
     | ^\W*(?:the|these|none\s+of\s+the|neither\s+of\s+the|no)\s+(?:\w+\s+){0,2}(?:excerpts?|chunks?|context|passages?|documents?|materials?|sources?|information|filings?|text)\b(?:\s+(?!however)\w+){0,3}?\s+(?:do(?:es)?\s+not|doesn['’]t|don['’]t|cannot|can['’]t|fails?\s+to|lacks?|address(?:es)?|contains?|mentions?)\b
     | \b(?:cannot|can['’]t|could\s+not|not\s+possible\s+to)\s+(?:be\s+)?(?:answer(?:ed)?|determined?)\b
-    | \bno\s+answer\s+can\s+be\s+given\b | \bfalls?\s+outside\s+what\s+i\b | \brather\s+not\s+(?:guess|say|answer)\b
     | ^\W*(?:je\s+(?:ne\s+(?:peux|sais|suis)|suis\s+désolé)|désolé|impossible\s+de|ich\s+kann\b.*\bnicht|leider|es\s+tut\s+mir\s+leid|lo\s+siento|no\s+puedo|no\s+es\s+posible|não\s+posso|desculpe|lamento|申し訳|к\s+сожалению|извините)
     """
 )
@@ -73,34 +65,6 @@ def _core(answer: str) -> str:
     return _SOURCES.sub("", re.sub(r"(?i)^\s*(?:answer|a|response)\s*:\s*", "", answer)).strip()
 
 
-def language(text: str) -> str | None:
-    """The language of a text by its scripts and frequent words; None if that isn't clear."""
-    n = Counter()
-    for c in text:
-        if c > "˿":
-            if "぀" <= c <= "ヿ":
-                n["ja"] += 4
-            elif "一" <= c <= "鿿":
-                n["han"] += 1
-            elif "Ѐ" <= c <= "ӿ":
-                n["ru"] += 1
-            elif "가" <= c <= "힣":
-                n["ko"] += 2
-            elif "Ͱ" <= c <= "Ͽ":
-                n["el"] += 1
-            elif "؀" <= c <= "ۿ":
-                n["ar"] += 1
-    words = [w.lower() for w in _WORDS.findall(text.replace("’", " ").replace("'", " "))]
-    latin = sum(1 for w in words if w[0] < "ɐ")
-    if n:
-        script, most = n.most_common(1)[0]
-        if most > 2 * sum(len(w) for w in words if w[0] < "ɐ") or most > 8 and most > latin * 2:
-            return {"han": "ja" if n["ja"] else "zh"}.get(script, script)
-    scores = {k: sum(w in s for w in words) for k, s in _LANGUAGE_SETS.items()}
-    (best, most), (_, second) = Counter(scores).most_common(2)
-    return best if most >= 2 and most >= 1.3 * second and most >= 0.08 * max(latin, 1) else None
-
-
 def _answers_yet(core: str) -> bool:
     """Whether a clause of more than five words behind a contrast answers, i.e. is no refusal itself."""
     marks = list(_CONTRAST.finditer(core))
@@ -112,26 +76,67 @@ def _answers_yet(core: str) -> bool:
     return False
 
 
-def rule_defect(question: str | None, answer: str | None, answerable: bool | None) -> str | None:
-    """``empty``, ``question_copy``, ``refusal`` or ``other_language``, or None."""
+#: A wording of refusals stands in this share of the responses to questions that can't be answered, three at least, and so many times oftener there than elsewhere; together such wordings hold this share of a refusal's words.
+WORDING_SHARE, WORDING_LEAST, WORDING_RATIO, WORDING_COVER = 0.001, 3, 8.0, 0.6
+#: Words of a wording.
+WORDING = 3
+_ANY_WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
+
+
+def refusal_wordings(rows: DataFrame, answer: str, answerable: str) -> list[str]:
+    """Runs of three words that stand in responses to questions that can't be answered, and much oftener there than in others.
+
+    At most as many as ``1 / WORDING_SHARE`` mean responses hold: the runs of the
+    first are counted, and only those frequent there in the others.
+    """
+    core = F.regexp_replace(F.lower(answer), r"(?s)\bsources?\s*:.*$", "")
+    words = F.regexp_extract_all(core, F.lit(r"(?U)[^\W_]+(?:['’-][^\W_]+)*"), F.lit(0))
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - WORDING + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, WORDING), " ")))
+    held = rows.where(F.col(answerable).isNotNull() & F.col(answer).isNotNull()).select(F.col(answerable).alias("ok"), words.alias("w")).where(F.size("w") >= WORDING).select("ok", runs.alias("runs"))
+    totals = {r.ok: r.n for r in held.groupBy("ok").agg(F.count(F.lit(1)).alias("n")).collect()}
+    without, given = totals.get(False, 0), totals.get(True, 0)
+    if not without or not given:
+        return []
+    least = max(WORDING_LEAST, WORDING_SHARE * without)
+    count = lambda df: df.select(F.explode("runs").alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    often = count(held.where("NOT ok")).where(F.col("n") >= least)
+    # few runs are frequent there: they cut the others down before these are counted
+    there = held.where("ok").select(F.explode("runs").alias("run")).join(often.select("run"), "run", "left_semi").groupBy("run").agg(F.count(F.lit(1)).alias("m"))
+    both = often.join(there, "run", "left").where((F.col("n") / without) >= WORDING_RATIO * (F.coalesce("m", F.lit(0)) + 1) / (given + 1))
+    return [r.run for r in both.select("run").collect()]
+
+
+def declines(core: str, wordings: frozenset[str]) -> bool:
+    """Whether a response, without its list of sources, declines: by its opening, or as most of its words stand in wordings of refusals."""
+    if _REFUSAL.search(core) and not _answers_yet(core):
+        return True
+    if not wordings:
+        return False
+    words = _ANY_WORD.findall(core.lower())
+    covered = [False] * len(words)
+    for i in range(len(words) - WORDING + 1):
+        if " ".join(words[i : i + WORDING]) in wordings:
+            covered[i : i + WORDING] = [True] * WORDING
+    return len(words) >= WORDING and sum(covered) >= WORDING_COVER * len(words)
+
+
+def rule_defect(question: str | None, answer: str | None, answerable: bool | None, wordings: frozenset[str] = frozenset(), foreign: bool = False) -> str | None:
+    """``empty``, ``question_copy``, ``refusal`` or, where ``foreign``, ``other_language``; None for others. Declining where that is right has no defect, in whatever language."""
     core = _core(answer or "")
     said = _letters(core)
     if not said or said in EMPTY_WORDS or said in {"n a", "no answer", "no response"}:
         return "empty"
     asked = _letters(question or "")
-    if asked and asked in said:
-        left = said.replace(asked, " ").split()
-        if all(w in {"q", "question", "the", "is", "you", "asked", "your", "a", "answer", "to", "repeat", "restate"} for w in left):
+    if asked and f" {asked} " in f" {said} ":
+        # up to four words beside the question, none of which is an answer
+        left = f" {said} ".replace(" ", "  ").replace("  ".join(["", *asked.split(), ""]), " ").split()
+        if len(left) <= 4 and not any(w in ("yes", "no") or any(map(str.isdigit, w)) for w in left):
             return "question_copy"
     if asked and len(asked) > 20 and (said in asked and len(said) > 0.9 * len(asked)):
         return "question_copy"
-    if answerable and _REFUSAL.search(core) and not _answers_yet(core):
-        return "refusal"
-    plain = _QUOTED.sub(" ", core)
-    spoken, wanted = language(plain), language(question or "")
-    if spoken and wanted and spoken != wanted:
-        return "other_language"
-    return None
+    if declines(core, wordings):
+        return "refusal" if answerable else None
+    return "other_language" if foreign else None
 
 
 def unfinished(answer: str | None) -> str | None:
@@ -171,6 +176,25 @@ def unfinished(answer: str | None) -> str | None:
     return "open"
 
 
+_MARKER = re.compile(r"^\s*(?:[-•*·–]|\(?[0-9]{1,3}[.)]|\(?[a-z][.)]|#+)\s+")
+_UNIT_END = re.compile(r"(?<=[.!?。！？])[)\]\"'”’»」]*(?:\s+(?=[^\W\d_a-zа-я]|[\d“\"«$€£(-])|(?<=[。！？])(?=\S))|\n+")
+_SHAPED = re.compile(r"(?P<figure>(?:USD\s|[$€£¥]\s?)?\d(?:[\d.,:/-]*\d)?(?:\s?%)?|[$€£¥])|(?P<name>\b[A-ZÀ-ÖØ-ÞА-Я][\w'’&-]*(?:\s+(?:&\s+)?[A-ZÀ-ÖØ-ÞА-Я][\w'’&-]*)*)")
+
+
+def shape(unit: str) -> str:
+    """A sentence or line without its marker, figures as ``#`` and names as ``N``; its first word in lower case unless it opens a name."""
+    u = " ".join(_MARKER.sub("", unit).split())
+    first, _, rest = u.partition(" ")
+    if first[1:].islower() and not rest[:1].isupper():
+        u = first.lower() + (" " + rest if rest else "")
+    return _SHAPED.sub(lambda m: "#" if m["figure"] else "N", u)
+
+
+def shapes(text: str) -> list[str]:
+    """The shapes of the sentences and lines of a text, in order."""
+    return [s for u in _UNIT_END.split(text) if u and (s := shape(u))]
+
+
 def goes_on(said: str, rest: str) -> bool:
     """Whether ``rest`` goes on within the word, figure or sentence in which ``said`` ends; scripts without spaces tell nothing."""
     last, first = said[-1], rest[0]
@@ -182,15 +206,22 @@ def goes_on(said: str, rest: str) -> bool:
     return False
 
 
-def continued(answers: DataFrame) -> DataFrame:
-    """Of the distinct, non-empty ``answer`` values, those another one continues: answer, continued boolean, onward boolean (by one that ``goes_on``).
+#: Characters by which values are put into ranges; only shorter values may be continued in another range.
+RANGE_PREFIX = 200
+
 
-    Values are sorted by text over all partitions. Those that continue a value
-    follow it without a gap, so a task holds the values that the last one
-    continues and no others. What a partition holds at its end is compared with
-    the partitions behind it.
+def continued(values: DataFrame) -> DataFrame:
+    """Of the distinct values asked for, how many rows hold a longer value that begins with it: value, more bigint, onward boolean (one of them ``goes_on``).
+
+    ``values``: value, n (rows that hold it), asked. They are sorted over all
+    partitions, by ranges of their first ``RANGE_PREFIX`` characters and whole
+    within them. Values that continue one follow it without a gap, so a task
+    holds the values that the last one continues and no others. Of these, the
+    ones shorter than the prefix, at the end of a partition, are compared with
+    the partitions behind it: a bounded number of bytes a partition.
     """
-    ordered = answers.where("answer IS NOT NULL AND answer <> ''").select("answer").distinct().repartitionByRange("answer").sortWithinPartitions("answer")
+    prefix = F.substring("value", 1, RANGE_PREFIX)
+    ordered = values.where("value <> ''").groupBy("value").agg(F.sum("n").alias("n"), F.max("asked").alias("asked")).withColumn("p", prefix).repartitionByRange("p").sortWithinPartitions("p", "value").select("value", "n", "asked")
 
     def compare(batches):
         from pyspark import TaskContext
@@ -198,96 +229,156 @@ def continued(answers: DataFrame) -> DataFrame:
         no, held, first = TaskContext.get().partitionId(), [], True
 
         def batch_of(rows):
-            values, flags, on, kinds = zip(*rows, strict=True)
-            return pa.RecordBatch.from_pydict({"answer": pa.array(values, pa.string()), "continued": pa.array(flags, pa.bool_()), "onward": pa.array(on, pa.bool_()), "place": pa.array(kinds, pa.string()), "part": pa.array([no] * len(values), pa.int32())})
+            values, more, on, kinds = zip(*rows, strict=True)
+            return pa.RecordBatch.from_pydict({"value": pa.array(values, pa.string()), "more": pa.array(more, pa.int64()), "onward": pa.array(on, pa.bool_()), "place": pa.array(kinds, pa.string()), "part": pa.array([no] * len(values), pa.int32())})
 
         for batch in batches:
             rows = []
-            for value in batch.column(0).to_pylist():
+            for value, n, asked in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if first:
-                    rows.append((value, False, False, "first"))
+                    rows.append((value[:RANGE_PREFIX], 0, False, "first"))
                     first = False
                 while held and not value.startswith(held[-1][0]):
                     rows.append((*held.pop(), "inner"))
                 for one in held:
-                    one[1], one[2] = True, one[2] or goes_on(one[0], value[len(one[0]) :])
-                held.append([value, False, False])
+                    one[1], one[2] = one[1] + n, one[2] or goes_on(one[0], value[len(one[0]) :])
+                if asked:
+                    held.append([value, 0, False])
             if rows:
                 yield batch_of(rows)
         if held:
-            yield batch_of([(*one, "last") for one in held])
+            yield batch_of([(*one, "last" if len(one[0]) < RANGE_PREFIX else "inner") for one in held])
 
-    kept = cut_lineage(map_arrow(ordered, compare, "answer string, continued boolean, onward boolean, place string, part int"))
-    # the first value of each partition and those its last one continues
-    edges = kept.where("place <> 'inner'").select("part", "place", "answer").collect()
-    firsts = sorted((r.part, r.answer) for r in edges if r.place == "first")
+    kept = cut_lineage(map_arrow(ordered, compare, "value string, more long, onward boolean, place string, part int"))
+    edges = kept.where("place <> 'inner'").select("part", "place", "value").collect()
+    firsts = sorted((r.part, r.value) for r in edges if r.place == "first")
     following = dict(zip((p for p, _ in firsts), firsts[1:], strict=False))
-    over = sorted((r.part, r.answer) for r in edges if r.place == "last" and r.part in following and following[r.part][1].startswith(r.answer))
-    values = kept.where("place <> 'first'").select("answer", "continued", "onward", "part")
+    over = sorted((r.part, r.value) for r in edges if r.place == "last" and r.part in following and following[r.part][1].startswith(r.value))
+    found = kept.where("place <> 'first'").select("value", "more", "onward")
     if not over:
-        return values.drop("part")
+        return found
+
+    # these few are counted anew over all values, as ranges may be cut elsewhere when they are made again
+    asked_again = {a for _, a in over}
 
     def look(batches):
-        seen = set()
+        sizes, more, on = sorted({len(a) for a in asked_again}), {}, set()
         for batch in batches:
-            for value, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen.update(a for p, a in over if part > p and a not in seen and value.startswith(a) and goes_on(a, value[len(a) :]))
-        yield pa.RecordBatch.from_pydict({"a": pa.array(sorted(seen), pa.string())})
+            for value, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for size in sizes:
+                    if size < len(value) and (a := value[:size]) in asked_again:
+                        more[a] = more.get(a, 0) + n
+                        if goes_on(a, value[size:]):
+                            on.add(a)
+        yield pa.RecordBatch.from_pydict({"value": pa.array(list(more), pa.string()), "more": pa.array(list(more.values()), pa.int64()), "onward": pa.array([a in on for a in more], pa.bool_())})
 
-    ons = [r.a for r in map_arrow(values.select("answer", "part"), look, "a string").distinct().collect()]
-    return values.select("answer", (F.col("continued") | F.col("answer").isin([a for _, a in over])).alias("continued"), (F.col("onward") | F.col("answer").isin(ons)).alias("onward") if ons else "onward")
+    again = map_arrow(values.select("value", "n"), look, "value string, more long, onward boolean").groupBy("value").agg(F.sum("more").alias("more"), F.max("onward").alias("onward"))
+    known = F.col("value").isin(sorted(asked_again))
+    return found.where(~known).unionByName(again)
 
 
 def length_limits(judged: DataFrame) -> DataFrame:
-    """ending, limit: the lengths at which open endings pile up, for each ending of which more than half at that length is in excess.
+    """limit: the lengths at which responses known as truncated pile up, beyond what the lengths around let expect.
 
-    What a length would hold is the mean of the four on either side; equal
-    answers count once.
+    What a length would hold is the mean of the four on either side; the excess
+    must be what chance gives once in a thousand sets of lengths. Equal answers
+    count once.
     """
-    spikes = judged.where("length(answer) > 40").select("answer", "ending").distinct().groupBy("ending", F.length("answer").alias("n")).agg(F.count(F.lit(1)).alias("x"))
-    around = spikes.select("ending", "x", F.col("n").alias("m"), F.explode(F.sequence(F.col("n") - 4, F.col("n") + 4)).alias("n"))
-    counted = around.groupBy("ending", "n").agg(F.coalesce(F.sum(F.when(F.col("m") == F.col("n"), F.col("x"))), F.lit(0)).alias("at"), (F.coalesce(F.sum(F.when(F.col("m") != F.col("n"), F.col("x"))), F.lit(0)) / 8).alias("near"))
-    # four standard deviations above what the lengths around let expect
-    limits = counted.where("ending = 'open'").where((F.col("at") >= 8) & (F.col("at") > F.col("near") + 4 * F.sqrt("near"))).select(F.col("n").alias("limit"))
-    return counted.where(F.col("at") > 2 * F.col("near")).join(limits, F.col("n") == F.col("limit")).select("ending", "limit")
+    spikes = judged.where("cut").select("answer").distinct().groupBy(F.length("answer").alias("n")).agg(F.count(F.lit(1)).alias("x"))
+    around = spikes.select("x", F.col("n").alias("m"), F.explode(F.sequence(F.col("n") - 4, F.col("n") + 4)).alias("n"))
+    at, near = F.coalesce(F.sum(F.when(F.col("m") == F.col("n"), F.col("x"))), F.lit(0)), F.coalesce(F.sum(F.when(F.col("m") != F.col("n"), F.col("x"))), F.lit(0)) / 8
+    counted = around.groupBy("n").agg(at.alias("at"), F.greatest(near, F.lit(0.125)).alias("near"))
+    lengths = F.greatest(F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))), F.lit(1))  # one row a length
+    excess = F.col("at") * F.log(F.col("at") / F.col("near")) - F.col("at") + F.col("near")
+    return counted.where("at > near").withColumn("lengths", lengths).where(excess > F.log(1000 * F.col("lengths"))).select(F.col("n").alias("limit"))
 
 
-def defective_pairs(df: DataFrame, key_cols: list[str], question_col: str, answer_col: str, answerable_col: str) -> DataFrame:
-    """One row per defective pair, with its defect.
+#: A shape's share of endings among the rows that hold it or continue it, below which it isn't taken as an end of its own.
+NATURAL_SHARE = 0.2
 
-    ``empty``: no content (null, blank, punctuation, a placeholder).
-    ``question_copy``: only the question. ``refusal``: declines although
-    answerable is true; null and false excuse it. ``other_language``: not the
-    language of the question, quoted phrases apart. ``truncated``: stops before
-    its end. The first that holds in this order counts.
-
-    Rows are told apart by ``key_cols``; nulls are key values like others.
-    Repeated rows give one row. Null questions make no copy and no language. An
-    empty table gives no rows; other columns are ignored.
 
-    Returns ``key_cols``, defect.
-    """
+def judged_pairs(df: DataFrame, key_cols: list[str], question_col: str, answer_col: str, answerable_col: str, truth_col: str | None = None, language_texts: DataFrame | None = None, language_cols: tuple[str, str] = ("text", "lang")) -> DataFrame:
+    """``defective_pairs`` with ``evidence``, what decided: ``rule``, ``sources``, ``neighbour``, ``sentence``, ``length`` or ``ending``."""
     keys = [f"__k{i}" for i in range(len(key_cols))]
-    rows = df.select(*(F.col(c).alias(k) for c, k in zip(key_cols, keys, strict=True)), F.col(question_col).cast("string").alias("q"), F.col(answer_col).cast("string").alias("answer"), F.col(answerable_col).cast("boolean").alias("ok")).distinct()
+    truth = F.col(truth_col).cast("string") if truth_col else F.lit(None).cast("string")
+    rows = df.select(*(F.col(c).alias(k) for c, k in zip(key_cols, keys, strict=True)), F.col(question_col).cast("string").alias("q"), F.col(answer_col).cast("string").alias("answer"), F.col(answerable_col).cast("boolean").alias("ok"), truth.alias("truth")).distinct()
+    context = df.sparkSession.sparkContext
+    model = context.broadcast(languages.sample(language_texts, *language_cols) if language_texts is not None else None)
+    wordings = context.broadcast(frozenset(refusal_wordings(rows, "answer", "ok")))
 
     def judge(batches):
+        n, said = len(keys), wordings.value
         for batch in batches:
-            n = len(keys)
-            q, a, ok = (batch.column(n + i).to_pylist() for i in range(3))
-            defects = [rule_defect(*x) for x in zip(q, a, ok, strict=True)]
+            q, a, ok, truths = (batch.column(n + i).to_pylist() for i in range(4))
+            cores = [_core(x or "") for x in a]
+            foreign = languages.differs(model.value, [x or "" for x in q], [_QUOTED.sub(" ", c) for c in cores])
+            defects = [rule_defect(*x, said, f) for *x, f in zip(q, a, ok, foreign, strict=True)]
             endings = [unfinished(x) for x in a]
-            # answers to one question are neighbours, their lists of sources taken off
-            cores = [None if d else hashlib.md5((x or "").encode()).hexdigest() + _core(y or "") for x, y, d in zip(q, a, defects, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), batch.column(n + 1), pa.array(defects, pa.string()), pa.array(endings, pa.string()), pa.array(cores, pa.string())], [*keys, "answer", "defect", "ending", "core"])
+            units = [[] if d else shapes(c) for d, c in zip(defects, cores, strict=True)]
+            # declined or broken responses tell nothing about endings; answers to one question are neighbours, their lists of sources taken off
+            asked = [hashlib.md5((x or "").encode()).hexdigest() for x in q]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(i) for i in range(n)), batch.column(n + 1), pa.array(defects, pa.string()), pa.array(endings, pa.string()), pa.array([bool(_SOURCES.search(x or "")) for x in a]),
+                    pa.array([None if d else x + c for x, c, d in zip(asked, cores, defects, strict=True)], pa.string()), pa.array([x + t if (t := _core(y or "")) else None for x, y in zip(asked, truths, strict=True)], pa.string()),
+                    pa.array([u[-1] if u else None for u in units], pa.string()), pa.array([u[:-1] for u in units], pa.list_(pa.string())), pa.array([shapes(_core(t or "")) for t in truths], pa.list_(pa.string())),
+                ],
+                [*keys, "answer", "defect", "ending", "sourced", "core", "truth", "last", "inner", "true_units"],
+            )
 
     kinds = dict(rows.dtypes)
-    judged = cut_lineage(map_arrow(rows, judge, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", answer string, defect string, ending string, core string"))
-    sure = judged.where("defect IS NOT NULL OR ending = 'open'").select(*keys, F.coalesce("defect", F.lit("truncated")).alias("defect"))
+    judged = cut_lineage(map_arrow(rows, judge, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", answer string, defect string, ending string, sourced boolean, core string, truth string, last string, inner array<string>, true_units array<string>"))
     plain = judged.where("defect IS NULL")
-    doubtful = plain.where("ending <> 'open'")
-    neighbours = continued(plain.select(F.col("core").alias("answer"))).where("continued").withColumnRenamed("answer", "core")
-    by_neighbour = doubtful.join(neighbours, "core").where("onward OR ending = 'unclear'")
-    by_limit = doubtful.where("ending IN ('unclear', 'abbreviated')").withColumn("limit", F.length("answer")).join(length_limits(plain), ["ending", "limit"], "left_semi")
-    cut = by_neighbour.select(*keys).unionByName(by_limit.select(*keys)).distinct().withColumn("defect", F.lit("truncated"))
-    found = sure.unionByName(cut)
-    return found.select(*(F.col(k).alias(c) for c, k in zip(key_cols, keys, strict=True)), "defect").distinct()
+    # complete: sentences and lines with more behind them in their text, and those of ground truths; ends: the last ones of responses
+    complete = judged.select(F.explode(F.concat("inner", F.when(F.length("truth") > 0, F.col("true_units")).otherwise(F.array().cast("array<string>")))).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("complete"))
+    ends = plain.where("last IS NOT NULL AND NOT sourced").groupBy(F.col("last").alias("value")).agg(F.count(F.lit(1)).alias("ends"))
+    held = lambda p, v: F.concat(F.lit(p), v)
+    values = (
+        complete.select(held("s", "value").alias("value"), F.col("complete").alias("n"), F.lit(False).alias("asked"))
+        .unionByName(ends.select(held("s", "value").alias("value"), F.col("ends").alias("n"), F.lit(True).alias("asked")))
+        .unionByName(plain.where("core IS NOT NULL").select(held("a", "core").alias("value"), F.lit(1).cast("long").alias("n"), (~F.col("sourced")).alias("asked")))
+        .unionByName(judged.where("truth IS NOT NULL").select(held("a", "truth").alias("value"), F.lit(1).cast("long").alias("n"), F.lit(False).alias("asked")))
+    )
+    more = cut_lineage(continued(values))
+    told = ends.join(complete, "value", "left").join(more.select(F.expr("substring(value, 2)").alias("value"), "more", F.left("value", F.lit(1)).alias("kind")).where("kind = 's'").drop("kind"), "value", "left")
+    whole, others = F.coalesce("complete", F.lit(0)), F.coalesce("more", F.lit(0))
+    natural = (F.col("ends") + whole) >= NATURAL_SHARE * (F.col("ends") + whole + others)
+    sentence = F.when(whole >= F.greatest(F.lit(1), 0.01 * others), "whole").when((others > 0) & ~natural, "cut")
+    told = told.select(F.col("value").alias("last"), sentence.alias("sentence"))
+    nexts = more.where("onward AND value LIKE 'a%'").select(F.expr("substring(value, 2)").alias("core"), F.lit(True).alias("onward"))
+    open_ = plain.where("NOT sourced").select(*keys, "answer", "ending", "core", "last").join(told, "last", "left").join(nexts, "core", "left")
+    ended = F.col("ending") == "open"
+    evidence = (
+        F.when(F.col("answer").rlike(r"(?is)\bsources?\s*:\s*\[[^\]]*$|\n\s*s(?:o(?:u(?:r(?:c(?:es?)?)?)?)?)?:?\s*$"), "sources")
+        .when(F.coalesce("onward", F.lit(False)), "neighbour")
+        .when(F.col("sentence") == "cut", "sentence")
+        .when(F.col("sentence") == "whole", F.lit(None).cast("string"))
+        .when(ended, "ending")
+    )
+    weighed = open_.withColumn("evidence", evidence).withColumn("cut", F.col("evidence").isNotNull())
+    limits = length_limits(weighed)
+    # a length limit decides where neither another text nor the ending does
+    weighed = weighed.join(limits, F.length("answer") == F.col("limit"), "left").withColumn("evidence", F.when(F.col("evidence").isNull() & F.col("sentence").isNull() & F.col("limit").isNotNull() & F.col("ending").isin("unclear", "abbreviated"), "length").otherwise(F.col("evidence")))
+    found = judged.where("defect IS NOT NULL").select(*keys, "defect", F.lit("rule").alias("evidence")).unionByName(weighed.where("evidence IS NOT NULL").select(*keys, F.lit("truncated").alias("defect"), "evidence"))
+    return found.select(*(F.col(k).alias(c) for c, k in zip(key_cols, keys, strict=True)), "defect", "evidence").distinct()
+
+
+def defective_pairs(df: DataFrame, key_cols: list[str], question_col: str, answer_col: str, answerable_col: str, truth_col: str | None = None, language_texts: DataFrame | None = None, language_cols: tuple[str, str] = ("text", "lang")) -> DataFrame:
+    """One row per defective pair, with its defect.
+
+    ``empty``: no content (null, blank, punctuation, a placeholder).
+    ``question_copy``: only the question. ``refusal``: declines although
+    answerable is true; null and false excuse it. ``other_language``: not the
+    language of the question, quoted phrases apart; languages of one script are
+    told apart by what ``language_texts`` (text and label, a bounded sample of
+    them) teach, without them only scripts are. ``truncated``: stops before its
+    end. The first that holds in this order counts.
+
+    Rows are told apart by ``key_cols``; nulls are key values like others.
+    Repeated rows give one row. Null questions make no copy and no language; null
+    ground truths tell nothing. An empty table gives no rows; other columns are
+    ignored.
+
+    Returns ``key_cols``, defect.
+    """
+    return judged_pairs(df, key_cols, question_col, answer_col, answerable_col, truth_col, language_texts, language_cols).select(*key_cols, "defect").distinct()

@@ -206,10 +206,21 @@ PAIRS = [
 ]
 
 
+SPOKEN = {
+    "en": "The company reported higher revenue in the second quarter because prices of services rose. Which risks does the filing describe for the segment? What drove the change in operating income during the period? Cost of sales and the backlog were twelve million lower.",
+    "fr": "Le chiffre d’affaires de la société a baissé au cours de l’exercice en raison de la concurrence. Les charges de personnel ont progressé et la direction prévoit une hausse des prix dans ce secteur.",
+    "es": "Los ingresos de la compañía aumentaron durante el ejercicio por la subida de los precios. La división de servicios advierte de riesgos por la pérdida de un proveedor y nuevas normas.",
+}
+
+
+def spoken(spark):
+    return spark.createDataFrame([(t, k.upper() if k == "fr" else k) for k, t in SPOKEN.items()] + [(None, "en"), ("no label", None)], "text string, lang string")
+
+
 def test_defects(spark):
     rows = [(f"r{i}", q, a, ok) for i, (_, q, a, ok, _) in enumerate(PAIRS)]
     df = spark.createDataFrame(rows + rows, "run string, q string, answer string, ok boolean")
-    got = {r.run: r.defect for r in responses.defective_pairs(df, ["run"], "q", "answer", "ok").collect()}
+    got = {r.run: r.defect for r in responses.defective_pairs(df, ["run"], "q", "answer", "ok", language_texts=spoken(spark)).collect()}
     assert got == {f"r{i}": p[4] for i, p in enumerate(PAIRS) if p[4]}
     assert responses.defective_pairs(df.limit(0), ["run"], "q", "answer", "ok").count() == 0
 
@@ -229,11 +240,42 @@ def test_refusals_with_contrast_or_of_any_length(answer, defect):
     assert responses.rule_defect("What drove the change in revenue during 2020?", answer, True) == defect
 
 
-def test_neighbours_find_every_continued_value(spark):
+def test_declining_where_it_is_right_has_no_defect_in_any_language(spark):
+    asked = "¿Cómo cambiaron los ingresos de la compañía durante el ejercicio?"
+    rows = [("right", asked, "I cannot determine revenue from these excerpts.", False), ("wrong", asked, "I cannot determine revenue from these excerpts.", True), ("english", asked, "Higher prices of services drove the change in revenue.", True), ("spanish", asked, "Los ingresos aumentaron por la subida de los precios.", True)]
+    # letters that only imitate Latin ones make no Russian
+    rows += [("imitated", "¿Cómo саmbіаrοn los ingreѕos de la compañía durаntе el ејеrсісіο?", "Los ingresos aumentaron por la subida de los precios.", True), ("figure", asked, "30.1 percent", True), ("asks", asked, f"The question asks: {asked}", True)]
+    df = spark.createDataFrame(rows, "run string, q string, answer string, ok boolean")
+    got = {r.run: r.defect for r in responses.defective_pairs(df, ["run"], "q", "answer", "ok", language_texts=spoken(spark)).collect()}
+    assert got == {"wrong": "refusal", "english": "other_language", "asks": "question_copy"}
+
+
+def test_wordings_of_refusals_are_learned(spark):
+    rng = random.Random(6)
+    things = ["a joint venture", "the code of conduct", "a supply agreement", "a note offering"]
+    silent = lambda: f"The context is silent on {rng.choice(things)}. Further documents would be needed before answering."
+    told = lambda: f"The {rng.choice(['media', 'health', 'devices'])} unit reported {rng.choice(things)} worth {rng.randint(2, 99)} million in its last period."
+    rows = [(f"n{i}", f"q{i}", silent() if i % 2 else told(), False) for i in range(60)] + [(f"y{i}", f"p{i}", told(), True) for i in range(300)] + [("refused", "q", silent(), True)]
+    df = spark.createDataFrame(rows, "run string, q string, answer string, ok boolean")
+    assert {r.run: r.defect for r in responses.defective_pairs(df, ["run"], "q", "answer", "ok").collect()} == {"refused": "refusal"}
+
+
+def asked_values(spark, values):
+    return spark.createDataFrame([(v, 1, True) for v in values], "value string, n long, asked boolean")
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_neighbours_find_every_continued_value(spark, monkeypatch, adaptive):
     rng = random.Random(9)
+    monkeypatch.setattr(responses, "RANGE_PREFIX", 6)
     values = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 9))) for _ in range(400)]
-    got = rows_of(responses.continued(spark.createDataFrame([(v,) for v in values], "answer string")), "answer", "continued")
-    assert got == {(v, any(w != v and w.startswith(v) for w in values)) for v in values}
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)  # adaptive execution puts all values into one partition
+    try:
+        got = rows_of(responses.continued(asked_values(spark, values)), "value", "more")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert got == {(v, sum(w != v and w.startswith(v) for w in values)) for v in values}
 
 
 def test_neighbours_that_go_on_are_found_over_partition_edges(spark):
@@ -241,10 +283,21 @@ def test_neighbours_that_go_on_are_found_over_partition_edges(spark):
     before = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # or all values come into one partition
     try:
-        got = rows_of(responses.continued(spark.createDataFrame([(v,) for v in values], "answer string")).where("continued"), "answer", "onward")
+        got = rows_of(responses.continued(asked_values(spark, values)).where("more > 0"), "value", "more", "onward")
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before)
-    assert got == {("Revenue rose 4.", True), ("Costs fell.", False)}
+    assert got == {("Revenue rose 4.", 302, True), ("Costs fell.", 1, False)}
+
+
+def test_sentences_of_others_tell_truncated_responses(spark):
+    places = ["Wales", "Osaka", "Nairobi"]
+    whole = [f"In {places[i % 3]}, sales rose by {i}% despite price changes. The unit opened {i + 2} sites" for i in range(12)]
+    rows = [(f"w{i}", f"q{i}", f"{t} in May.", None) for i, t in enumerate(whole)] + [(f"x{i}", f"r{i}", f"{t}\nThe plan is open to all of them.", None) for i, t in enumerate(whole)]
+    # the last sentence is one that others end with, or is one that all others continue, or the ground truth does
+    rows += [("complete", "a", "The unit opened 30 sites", None), ("in a figure", "b", "In Leeds, sales rose by 4.", None), ("in the truth", "c", "Zor ceased its business.", "Zor ceased its business.5 percent of it was sold."), ("own truth", "d", "Zor ceased its business.", "Zor ceased its business.")]
+    df = spark.createDataFrame(rows, "run string, q string, answer string, truth string").selectExpr("*", "true AS ok")
+    got = {r.run: r.evidence for r in responses.judged_pairs(df, ["run"], "q", "answer", "ok", "truth").collect()}
+    assert got == {"in the truth": "neighbour"} or got == {"in the truth": "neighbour", "in a figure": "sentence"}
 
 
 def test_neighbours_and_limits_tell_truncated_responses(spark):
