@@ -129,7 +129,7 @@ def rule_defect(question: str | None, answer: str | None, answerable: bool | Non
     asked = _letters(question or "")
     if asked and f" {asked} " in f" {said} ":
         # up to four words beside the question, none of which is an answer
-        left = f" {said} ".replace(" ", "  ").replace("  ".join(["", *asked.split(), ""]), " ").split()
+        left = f" {said} ".replace(" ", "  ").replace(f" {asked.replace(' ', '  ')} ", " ").split()
         if len(left) <= 4 and not any(w in ("yes", "no") or any(map(str.isdigit, w)) for w in left):
             return "question_copy"
     if asked and len(asked) > 20 and (said in asked and len(said) > 0.9 * len(asked)):

@@ -192,6 +192,7 @@ PAIRS = [
     ("q", "What drove the change in revenue during 2020?", "Yes.", True, None),
     ("q", "What drove the change in revenue during 2020?", "Q: What drove the change in revenue during 2020", True, "question_copy"),
     ("q", "What drove the change in revenue during 2020?", "On the question “What drove the change in revenue during 2020?”, sales of new products rose in Osaka.", True, None),
+    ("q", "What drove the change in revenue during 2020?", "What drove the change in revenue during 2020?\nWhat drove the change in revenue during 2020?", True, "question_copy"),
     ("q", "What drove the change in revenue during 2020?", "I'm sorry, but I can't answer that.", True, "refusal"),
     ("q", "What drove the change in revenue during 2020?", "I'm sorry, but I can't answer that.", False, None),
     ("q", "What drove the change in revenue during 2020?", "The filing does not state revenue separately; however, in Wales sales of all the units climbed.", True, None),
