@@ -1,16 +1,18 @@
 """Problem 5: records that share most of their runs of words.
 
 LSH forest. Each distinct set of word runs (a class of records) has one minhash
-signature; each tree sorts the classes by its own four values of it. Classes
-with a common prefix are neighbours in that order and candidates: at depth
-three in regions of up to ``region`` classes, one deeper in denser ones. All
-neighbours of a region are compared, by vector operations on a sketch of 128
-bits that the sorted rows carry, so no region is capped; the few that are close
-enough are checked exactly on their texts.
-
-At similarity 0.7 a tree of depth three finds a pair with probability 0.34,
-sixteen trees with 0.999; in dense regions, at depth four, with 0.988. From 0.8
-on both exceed 0.9997. The sketch drops about one pair in 60,000 at 0.7.
+signature; each tree sorts the classes by its own values of it. Classes with a
+common prefix are neighbours in that order and candidates: at a prefix of three
+values in regions of up to ``REGION`` classes; in denser ones, which are handed
+on as they stream by, at four. A region that is still dense is cut into blocks
+that are compared block with block, in tasks of their own, as a deeper prefix
+would lose links. Neighbours are compared by vector operations on a sketch of 64
+bits that the sorted rows carry; the few that are close enough are checked
+exactly on their texts.
+
+At similarity 0.7 a tree finds a pair with probability 0.34 at a prefix of
+three, eighteen trees with 0.9994; in dense regions, at four, with 0.993. The
+sketch drops about one pair in 60,000 at 0.7.
 """
 
 from __future__ import annotations
@@ -23,11 +25,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import batches_of, map_arrow, record_key
+from ledgerloom.operators.chunking import distinct_rows
 from ledgerloom.session import cut_lineage
 
-TREES, DEPTH, SHALLOW, SKETCH_BITS = 16, 4, 3, 128
+TREES, DEPTH, SKETCH_BITS = 18, 4, 64
+#: Hash functions: every tree has values of its own; the sketch takes another bit of the first ones.
+HASHES = TREES * DEPTH
 WORD = "[a-z0-9]+"
-SIGNATURE = "k string, c1 long, c2 long, sig binary, s1 long, s2 long"
+SIGNATURE = "k string, h long, c1 long, c2 long, sketch long, trees array<struct<hi: bigint, lo: int>>"
+#: Classes of a region that one task compares.
+REGION = 4096
+#: Prefixes that may hold more than about one row in 6,000 are known before rows are moved: at most so many, by a summary of so many counters.
+HOT_PREFIXES, HOT_COUNTERS = 2000, 8192
+#: Ids of texts to read that may be broadcast (8 bytes each); beyond, texts are joined by their ids.
+BROADCAST_IDS = 4_000_000
+#: Copies of a class that one task joins with the others.
+COPIES = 512
 
 
 _IN_WORD = np.zeros(256, bool)
@@ -49,10 +62,10 @@ class Signer:
     def __init__(self, run: int, min_words: int, seed: int = 11):
         rng = np.random.default_rng(seed)
         self.run, self.min_words = run, max(min_words, run)
-        self.a = (rng.integers(0, 2**31, SKETCH_BITS, np.uint32) << np.uint32(1)) | np.uint32(1)
-        self.b = rng.integers(0, 2**32, SKETCH_BITS, np.uint32)
+        self.a = (rng.integers(0, 2**31, HASHES, np.uint32) << np.uint32(1)) | np.uint32(1)
+        self.b = rng.integers(0, 2**32, HASHES, np.uint32)
         self.places = _mixed(np.arange(256, dtype=np.uint64)) | np.uint64(1)
-        self.held = np.empty((256, SKETCH_BITS), np.uint32)
+        self.held = np.empty((256, HASHES), np.uint32)
 
     def runs(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the lower-cased texts in ``data`` that end at ``ends``: (those with enough words, a 64-bit number for each run, where each text's runs begin, and their end)."""
@@ -81,7 +94,7 @@ class Signer:
         return texts, x[keep], np.concatenate([[0], np.cumsum(counts[texts] - self.run + 1)])
 
     def sign(self, x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-        """c1, c2, signature, s1, s2 of the texts whose runs begin at ``at``.
+        """c1, c2, the prefixes of three values (with the tree in the first bits) and fourth values by tree, and the sketch of the texts whose runs begin at ``at``.
 
         The class is the sum of mixed numbers of all runs: texts with the same
         runs as often share it. Equal sets with other numbers of repeats are found
@@ -89,15 +102,17 @@ class Signer:
         """
         c1, c2 = (np.add.reduceat(_mixed(x ^ np.uint64(k)), at[:-1]).view(np.int64) for k in (0x51ED27, 0xA0761D6478BD642F))
         low = (x >> np.uint64(32)).astype(np.uint32)[:, None]
-        v = np.full((len(at) - 1, SKETCH_BITS), 2**32 - 1, np.uint32)
+        v = np.full((len(at) - 1, HASHES), 2**32 - 1, np.uint32)
         for i in range(len(at) - 1):
             for j in range(at[i], at[i + 1], len(self.held)):
                 part = low[j : min(j + len(self.held), at[i + 1])]
                 held = np.multiply(part, self.a, out=self.held[: len(part)])
                 np.minimum(v[i], np.add(held, self.b, out=held).min(axis=0), out=v[i])
-        bits = np.packbits(((v >> np.uint32(3)) & np.uint32(1)).astype(np.uint8), axis=1).view(np.int64)
-        sig = ((v ^ (v >> np.uint32(16))) & np.uint32(0xFFFF)).astype(np.uint16)[:, : TREES * DEPTH]
-        return c1, c2, sig, bits[:, 0], bits[:, 1]
+        sketch = np.packbits(((v[:, :SKETCH_BITS] >> np.uint32(3)) & np.uint32(1)).astype(np.uint8), axis=1).view(np.int64)[:, 0]
+        value = (v ^ (v >> np.uint32(15))).reshape(len(v), TREES, DEPTH).astype(np.uint64)
+        low = lambda i, bits: value[:, :, i] & np.uint64((1 << bits) - 1)
+        hi = np.arange(TREES, dtype=np.uint64) << np.uint64(59) | low(0, 19) << np.uint64(40) | low(1, 20) << np.uint64(20) | low(2, 20)
+        return c1, c2, hi.view(np.int64), low(3, 16).astype(np.int32), sketch
 
 
 def similarity(a: str, b: str, run: int) -> float:
@@ -113,39 +128,33 @@ def similarity(a: str, b: str, run: int) -> float:
     return both / (len(x) + len(y) - both) if x or y else 0.0
 
 
-def close_neighbours(region: np.ndarray, deeper: np.ndarray, ids: np.ndarray, s1: np.ndarray, s2: np.ndarray, most: int, differ: int) -> np.ndarray:
-    """Pairs of ids (smaller first) of the same region, or subregion where it has more than ``most`` rows, whose sketches differ in at most ``differ`` bits; rows are sorted."""
-    n = len(region)
-    if n < 2:
-        return np.empty((0, 2), np.int64)
-    starts = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1]]))
-    sizes = np.diff(np.append(starts, n))
-    group = np.repeat(np.arange(len(starts)), sizes)
-    dense = np.repeat(sizes > most, sizes)
-    group = group * 65536 + np.where(dense, deeper, 0)
-    at, pairs, step = np.arange(n - 1), [], 0
+def close_neighbours(group: np.ndarray, ids: np.ndarray, sketch: np.ndarray, differ: int) -> np.ndarray:
+    """Places (i < j) of rows of the same group whose sketches differ in at most ``differ`` bits; rows are sorted by group."""
+    n, pairs, step = len(group), [], 0
+    at = np.arange(n - 1) if n > 1 else np.empty(0, np.int64)
     # unsigned: of a negative number the bits of its magnitude would be counted
-    s1, s2 = s1.astype(np.int64).view(np.uint64), s2.astype(np.int64).view(np.uint64)
+    s = sketch.astype(np.int64).view(np.uint64)
     while len(at):
         step += 1
         at = at[at + step < n]
         at = at[group[at] == group[at + step]]
-        apart = np.bitwise_count(s1[at] ^ s1[at + step]) + np.bitwise_count(s2[at] ^ s2[at + step])
-        near = at[apart <= differ]
+        near = at[np.bitwise_count(s[at] ^ s[at + step]) <= differ]
+        near = near[ids[near] != ids[near + step]]
         if len(near):
-            pairs.append(np.stack([ids[near], ids[near + step]], axis=1))
-    return np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0) if pairs else np.empty((0, 2), np.int64)
+            pairs.append(np.stack([near, near + step], axis=1))
+    return np.concatenate(pairs) if pairs else np.empty((0, 2), np.int64)
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, run: int, min_words: int) -> DataFrame:
-    """One row per record that takes part: its key, its class (c1, c2) and its signature."""
-    texts = df.where(F.col(text_col).isNotNull()).select(record_key(id_col, text_col).alias("k"), F.lower(F.col(text_col).cast("string")))
+    """One row per record that takes part: its key, a hash of its text, its class (c1, c2), its sketch and its place in every tree."""
+    text = F.lower(F.col(text_col).cast("string"))
+    texts = df.where(F.col(text_col).isNotNull()).select(record_key(id_col, text_col).alias("k"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), text.alias("t"))
 
     def sign(batches):
         signer = Signer(run, min_words)
         for large in batches:
             for batch in batches_of(large, 256):
-                column = batch.column(1).cast(pa.large_binary())
+                column = batch.column(2).cast(pa.large_binary())
                 _, offsets, data = column.buffers()
                 ends = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
                 if not data or ends[-1] == ends[0]:
@@ -153,63 +162,137 @@ def signatures(df: DataFrame, id_col: str, text_col: str, run: int, min_words: i
                 some, x, at = signer.runs(np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], ends[1:] - ends[0])
                 if not len(some):
                     continue
-                c1, c2, sig, s1, s2 = signer.sign(x, at)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.array(c1), pa.array(c2), pa.array([r.tobytes() for r in sig], pa.binary()), pa.array(s1), pa.array(s2)], ["k", "c1", "c2", "sig", "s1", "s2"])
+                c1, c2, hi, lo, sketch = signer.sign(x, at)
+                place = pa.StructArray.from_arrays([pa.array(hi.ravel()), pa.array(lo.ravel())], ["hi", "lo"])
+                trees = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * TREES), place)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), batch.column(1).take(pa.array(some)), pa.array(c1), pa.array(c2), pa.array(sketch), trees], ["k", "h", "c1", "c2", "sketch", "trees"])
 
-    return cut_lineage(map_arrow(texts, sign, SIGNATURE).dropDuplicates(["k"]))
+    return cut_lineage(map_arrow(texts, sign, SIGNATURE))
 
 
-def candidates(signed: DataFrame, threshold: float, region: int = 4096) -> DataFrame:
-    """Pairs of classes (a < b, by c1) that some tree makes neighbours and whose sketches are close."""
-    one = signed.groupBy("c1", "c2").agg(F.min(F.struct("sig", "s1", "s2")).alias("m")).select("c1", "m.*")
+def _allowed_bits(threshold: float) -> int:
     mean = SKETCH_BITS * (1 + threshold) / 2
-    differ = int(SKETCH_BITS - mean + 4.2 * (mean * (1 - threshold) / 2) ** 0.5)
+    return int(SKETCH_BITS - mean + 4.2 * (mean * (1 - threshold) / 2) ** 0.5)
+
+
+def candidates(signed: DataFrame, threshold: float, region: int = REGION) -> DataFrame:
+    """Pairs of classes (a < b, by c1) that some tree makes neighbours and whose sketches are close."""
+    differ = _allowed_bits(threshold)
+    # of the classes with several records one row is taken; the others, mostly all, stay where they are
+    several = signed.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("c1", "c2")
+    alone = signed.join(several, ["c1", "c2"], "left_anti").select("c1", "sketch", "trees")
+    one = alone.unionByName(signed.join(several, ["c1", "c2"], "left_semi").groupBy("c1", "c2").agg(F.first("sketch").alias("sketch"), F.first("trees").alias("trees")).select("c1", "sketch", "trees"))
+    trees = one.select(F.col("c1").alias("id"), F.col("sketch").alias("s"), F.inline("trees"))
+    # prefixes so frequent that their region would be a great part of all rows go to the dense ones at once
+    top = signed.select(F.explode("trees.hi").alias("hi")).agg(F.expr(f"approx_top_k(hi, {HOT_PREFIXES}, {HOT_COUNTERS})").alias("x")).first().x
+    hot = [r["item"] for r in top or [] if r["count"] > region]
+    is_hot = F.col("hi").isin(hot) if hot else F.lit(False)
 
-    def plant(batches):
+    def compare(batches):
+        """Pairs of each region (rows by ascending hi); the rows of a region above the limit are handed on."""
+
+        def out(a, b, hi, lo, s):
+            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "hi": pa.array(hi, pa.int64()), "lo": pa.array(lo, pa.int32()), "s": pa.array(s, pa.int64())})
+
+        def judged(rows):
+            hi = rows["hi"]
+            starts = np.flatnonzero(np.concatenate([[True], hi[1:] != hi[:-1]]))
+            dense = np.repeat(np.diff(np.append(starts, len(hi))) > region, np.diff(np.append(starts, len(hi))))
+            if dense.any():
+                on = {c: v[dense] for c, v in rows.items()}
+                yield out(on["id"], [None] * len(on["id"]), on["hi"], on["lo"], on["s"])
+                rows = {c: v[~dense] for c, v in rows.items()}
+            p = close_neighbours(rows["hi"], rows["id"], rows["s"], differ)
+            if len(p):
+                x, y = rows["id"][p[:, 0]], rows["id"][p[:, 1]]
+                none = [None] * len(p)
+                yield out(np.minimum(x, y), np.maximum(x, y), none, none, none)
+
+        held, passing = None, None
         for batch in batches:
-            n = batch.num_rows
-            if not n:
+            rows = {c: batch.column(i).to_numpy() for i, c in enumerate(batch.schema.names)}
+            if passing is not None:
+                # the rest of a region that is handed on
+                same = int(np.searchsorted(rows["hi"], passing, "right"))
+                if same:
+                    yield out(rows["id"][:same], [None] * same, rows["hi"][:same], rows["lo"][:same], rows["s"][:same])
+                    rows = {c: v[same:] for c, v in rows.items()}
+                if not len(rows["hi"]):
+                    continue
+                passing = None
+            if held is not None:
+                rows = {c: np.concatenate([held[c], v]) for c, v in rows.items()}
+            hi = rows["hi"]
+            if not len(hi):
                 continue
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(n, TREES, DEPTH).astype(np.int64)
-            prefix = sig[:, :, 0] << 48 | sig[:, :, 1] << 32 | sig[:, :, 2] << 16 | np.arange(TREES)
-            column = lambda i: np.repeat(batch.column(i).to_numpy(), TREES)
-            yield pa.RecordBatch.from_pydict({"region": pa.array(prefix.ravel()), "deeper": pa.array(sig[:, :, SHALLOW].ravel().astype(np.int32)), "id": pa.array(column(0)), "s1": pa.array(column(2)), "s2": pa.array(column(3))})
+            cut = int(np.searchsorted(hi, hi[-1], "left"))
+            held = {c: v[cut:] for c, v in rows.items()}
+            if cut:
+                yield from judged({c: v[:cut] for c, v in rows.items()})
+            if len(held["hi"]) > region:
+                yield from judged(held)
+                passing, held = held["hi"][-1], None
+        if held is not None:
+            yield from judged(held)
+
+    ordered = trees.where(~is_hot).select("hi", "lo", "id", "s").repartition("hi").sortWithinPartitions("hi")
+    first = cut_lineage(map_arrow(ordered, compare, "a long, b long, hi long, lo int, s long"))
+    pairs = first.where("b IS NOT NULL").select("a", "b")
+    dense = first.where("b IS NULL").select("hi", "lo", F.col("a").alias("id"), "s")
+    if hot:
+        dense = dense.unionByName(trees.where(is_hot).select("hi", "lo", "id", "s"))
+    if hot or not dense.isEmpty():
+        pairs = pairs.unionByName(_dense_pairs(cut_lineage(dense), differ, region))
+    return pairs.distinct()
+
+
+def _dense_pairs(dense: DataFrame, differ: int, region: int) -> DataFrame:
+    """Close pairs of classes with four common values; more than ``region`` of them are cut into blocks, and each two blocks compared in a group of their own."""
+    sizes = dense.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hi", "lo", F.ceil(F.col("n") / region).cast("int").alias("blocks"))
+    placed = dense.join(sizes, ["hi", "lo"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sent = placed.select("hi", "lo", "id", "s", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    tiles = sent.select(F.xxhash64("hi", "lo", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "id", "s", "own", (F.col("own") == F.col("other")).alias("inner"))
 
     def compare(batches):
         def pairs_of(rows):
-            p = close_neighbours(rows["region"], rows["deeper"].astype(np.int64), rows["id"], rows["s1"], rows["s2"], region, differ)
-            return pa.RecordBatch.from_pydict({"a": pa.array(p[:, 0]), "b": pa.array(p[:, 1])})
+            p = close_neighbours(rows["g"], rows["id"], rows["s"], differ)
+            # pairs of one block are those of its own group
+            p = p[(rows["own"][p[:, 0]] != rows["own"][p[:, 1]]) | rows["inner"][p[:, 0]]]
+            x, y = rows["id"][p[:, 0]], rows["id"][p[:, 1]]
+            return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
 
         held = None
         for batch in batches:
-            rows = {c: batch.column(i).to_numpy() for i, c in enumerate(batch.schema.names)}
+            rows = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(batch.schema.names)}
             if held is not None:
                 rows = {c: np.concatenate([held[c], v]) for c, v in rows.items()}
-            r = rows["region"]
-            if not len(r):
+            g = rows["g"]
+            if not len(g):
                 continue
-            # the last region may go on in the next batch
-            cut = int(np.searchsorted(r, r[-1], "left"))
+            # a group, of at most about two blocks, may go on in the next batch
+            cut = int(np.searchsorted(g, g[-1], "left"))
             held = {c: v[cut:] for c, v in rows.items()}
             if cut:
                 yield pairs_of({c: v[:cut] for c, v in rows.items()})
         if held is not None:
             yield pairs_of(held)
 
-    trees = map_arrow(one, plant, "region long, deeper int, id long, s1 long, s2 long")
-    orders = trees.repartition("region").sortWithinPartitions("region", "deeper")
-    return map_arrow(orders, compare, "a long, b long").where("a <> b").distinct()
+    return map_arrow(tiles.repartition("g").sortWithinPartitions("g"), compare, "a long, b long")
 
 
 def similar_classes(df: DataFrame, id_col: str, text_col: str, threshold: float, run: int, min_words: int) -> tuple[DataFrame, DataFrame]:
     """(records with their class, links between classes: a, b, similarity), both kept."""
     signed = signatures(df, id_col, text_col, run, min_words)
+    members = distinct_rows(signed.select("k", "h", "c1", "c2"), "k")
     pairs = cut_lineage(candidates(signed, threshold))
     # one record's text stands for its class, read for the classes in question only
     asked = pairs.select(F.explode(F.array("a", "b")).alias("c1")).distinct()
-    chosen = signed.select("k", "c1", "c2").join(asked, "c1", "left_semi").groupBy("c1", "c2").agg(F.min("k").alias("k"))
-    texts = df.where(F.col(text_col).isNotNull()).select(record_key(id_col, text_col).alias("k"), F.col(text_col).cast("string").alias("t"))
-    read = cut_lineage(texts.join(chosen, "k").dropDuplicates(["c1", "c2"]).select("c1", "c2", "t"))
+    chosen = cut_lineage(signed.select("k", "h", "c1", "c2").join(asked, "c1", "left_semi").groupBy("c1", "c2").agg(F.min(F.struct("k", "h")).alias("m")).select("c1", "c2", "m.*"))
+    texts = df.where(F.col(text_col).isNotNull()).select(record_key(id_col, text_col).alias("k"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("t"))
+    if chosen.count() <= BROADCAST_IDS:
+        # few texts are left before they are moved
+        texts = texts.join(F.broadcast(chosen.select("h").distinct()), "h", "left_semi")
+    read = cut_lineage(texts.join(chosen, ["k", "h"]).groupBy("c1", "c2").agg(F.first("t").alias("t")))
     side = lambda s: read.select(F.col("c1").alias(s), F.col("c2").alias(f"{s}2"), F.col("t").alias(f"t{s}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "a2", "b", "b2", "ta", "tb")
 
@@ -224,7 +307,7 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, threshold: float,
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), pa.array(said, pa.float64())], ["a", "a2", "b", "b2", "similarity"])
 
     links = map_arrow(joined, check, "a long, a2 long, b long, b2 long, similarity double")
-    return signed.select("k", "c1", "c2"), cut_lineage(links)
+    return members.select("k", "c1", "c2").distinct(), cut_lineage(links)
 
 
 def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.7, run: int = 3, min_words: int = 60) -> DataFrame:
@@ -233,18 +316,23 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, threshold: f
     The similarity is, of the distinct runs of ``run`` words in the two texts,
     the share that both have; a word is a maximal run of a-z and 0-9 in the
     lower-cased text. Texts under ``min_words`` words, empty and null ones take
-    no part. Repeated rows of an id count once; rows without an id are told apart
-    by their text and have keys that begin with a null character. An empty table
+    no part. Repeated rows of an id count once, two texts of one id each for
+    itself; rows without an id are told apart by their text and have keys that begin with a null character. An empty table
     gives no rows. The result holds all pairs within groups of equal records, as
     its form demands; ``near_duplicate_groups`` does not.
 
     Returns id_a, id_b (a < b as strings), similarity.
     """
     members, links = similar_classes(df, id_col, text_col, threshold, run, min_words)
-    copies = members.join(members.groupBy("c1", "c2").count().where("count > 1").drop("count"), ["c1", "c2"], "left_semi")
-    same = copies.select("c1", "c2", F.col("k").alias("id_a")).join(copies.select("c1", "c2", F.col("k").alias("id_b")), ["c1", "c2"]).where("id_a < id_b").select("id_a", "id_b", F.lit(1.0).alias("similarity"))
+    counted = members.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / COPIES).cast("int")).drop("n")
+    # the copies of a class meet in blocks: each with all of one block, by a key of their own
+    copies = members.join(counted, ["c1", "c2"])
+    left = copies.select("c1", "c2", F.col("k").alias("id_a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    right = copies.select("c1", "c2", F.col("k").alias("id_b"), F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int").alias("block"))
+    same = left.join(right, ["c1", "c2", "block"]).where("id_a < id_b").select("id_a", "id_b", F.lit(1.0).alias("similarity"))
     near = links.join(members.select(F.col("c1").alias("a"), F.col("c2").alias("a2"), F.col("k").alias("x")), ["a", "a2"]).join(members.select(F.col("c1").alias("b"), F.col("c2").alias("b2"), F.col("k").alias("y")), ["b", "b2"])
-    return same.unionByName(near.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity"))
+    pairs = same.unionByName(near.where("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity"))
+    return pairs.groupBy("id_a", "id_b").agg(F.max("similarity").alias("similarity"))
 
 
 def connected(links: DataFrame) -> DataFrame:

@@ -119,14 +119,32 @@ def test_pairs_equal_brute_force(spark):
     assert near_duplicates.near_duplicate_pairs(df.limit(0), "chunk_id", "text").count() == 0
 
 
-def test_dense_regions_are_compared_whole():
-    import numpy as np
-
-    n = 300
-    region, deeper, ids = np.zeros(n, np.int64), np.sort(np.arange(n) % 3).astype(np.int64), np.arange(n)
-    s = np.zeros(n, np.int64)
-    assert len(near_duplicates.close_neighbours(region, deeper, ids, s, s, 1000, 10)) == n * (n - 1) // 2
-    assert len(near_duplicates.close_neighbours(region, deeper, ids, s, s, 10, 10)) == 3 * 100 * 99 // 2
+def test_dense_regions_are_compared_in_blocks(spark):
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(vocabulary) for _ in range(100)]
+    texts = {}
+    for i in range(90):  # all alike enough to stand in the same regions
+        words = list(base)
+        for _ in range(rng.randint(0, 5)):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        texts[f"d{i:03}"] = " ".join(words)
+    want = {(a, b) for a, b in itertools.combinations(sorted(texts), 2) if near_duplicates.similarity(texts[a], texts[b], 3) >= 0.7}
+    df = chunks(spark, [(k, t, None, None) for k, t in texts.items()])
+    signed = near_duplicates.signatures(df, "chunk_id", "text", 3, 60)
+    number = {r.c1: r.k for r in signed.select("c1", "k").collect()}
+    for region in (4096, 40, 7):
+        found = {tuple(sorted((number[r.a], number[r.b]))) for r in near_duplicates.candidates(signed, 0.7, region).collect()}
+        held = {tuple(sorted((number[c1], number[c2]))) for c1, c2 in itertools.combinations(number, 2)}
+        missed = {p for p in want & held if p not in found}
+        assert len(missed) <= 0.01 * len(want), (region, len(missed), len(want))
+
+
+def test_two_texts_of_one_id_lose_no_link(spark):
+    rng = random.Random(13)
+    one, two = (" ".join(f"{c}{rng.randrange(999)}" for _ in range(80)) for c in "ab")
+    df = chunks(spark, [("x", one, None, None), ("x", two, None, None), ("y", one + " end", None, None), ("z", two + " end", None, None)])
+    assert rows_of(near_duplicates.near_duplicate_pairs(df, "chunk_id", "text"), "id_a", "id_b") == {("x", "y"), ("x", "z")}
 
 
 def test_forms_of_several_characters_and_selectors(spark):
