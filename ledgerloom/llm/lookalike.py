@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import batches_of, map_arrow
+from ledgerloom.operators.chunking import distinct_rows
 
 # fixed values: letters of other scripts and the Latin letters they imitate
 IMITATIONS = {
@@ -129,6 +130,8 @@ def normalize_lookalikes(df: DataFrame, id_col: str, value_cols: list[str], tabl
     sql = _query()
     columns = [f"v{i}" for i in range(len(value_cols))]
     source = df.select(F.col(id_col).cast("string").alias("k"), *(F.col(c).cast("string").alias(a) for c, a in zip(value_cols, columns, strict=True)))
+    # repeated rows are taken once before their texts are touched
+    source = distinct_rows(source, "k")
 
     def run(batches):
         import duckdb
@@ -150,4 +153,4 @@ def normalize_lookalikes(df: DataFrame, id_col: str, value_cols: list[str], tabl
             con.close()
 
     out = map_arrow(source, run, "row_key string, field_name string, normal_text string, changed boolean")
-    return out.distinct().select(F.lit(table_name).alias("table_name"), "row_key", "field_name", "normal_text", "changed")
+    return out.select(F.lit(table_name).alias("table_name"), "row_key", "field_name", "normal_text", "changed")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import map_arrow, record_key
+from ledgerloom.operators.chunking import distinct_rows
 
 #: Added to a valley's depth (0 to 2) for what stands at the boundary.
 BOUNDARY_BONUS = {"heading": 0.8, "blank_line": 0.5, "line": 0.3, "sentence": 0.1, "word": -1.0}
@@ -64,7 +65,8 @@ def split_text(text: str, heading: str | None, limit: int, overlap: int, block:
     def kind_at(cut: int) -> str:
         (a, b), (c, _) = spans[cut - 1], spans[cut]
         gap = text[b:c]
-        line = text[c : c + 300].split("\n", 1)[0] if "\n" in gap else ""
+        end = text.find("\n", c)
+        line = text[c : end if end >= 0 else len(text)] if "\n" in gap else ""
         return _boundary(gap, text[max(a, b - 12) : b], line, head)
 
     pieces, start = [], 0
@@ -99,7 +101,8 @@ def split_oversized(df: DataFrame, id_col: str, text_col: str, heading_col: str
     most ``limit`` words and share exactly ``overlap`` words with the one
     before; together they hold the whole text. Items that fit, empty and null
     texts give no rows. Repeated rows of an id with one text give their pieces
-    once; rows without an id are told apart by their text. A word longer than
+    once, two texts of one id each its own; rows without an id are told apart by
+    their text. A word longer than
     any bound stays whole. Stored word counts are not read.
 
     Returns item_id, piece_no from 0, start_word, end_word (exclusive), n_words,
@@ -110,17 +113,18 @@ def split_oversized(df: DataFrame, id_col: str, text_col: str, heading_col: str
     heading = F.col(heading_col).cast("string") if heading_col else F.lit(None).cast("string")
     # words are parted by at least one character, so shorter texts cannot exceed the limit: they never reach Python
     long = df.where(F.length(text_col) > 2 * limit).select(record_key(id_col, text_col).alias("k"), F.col(id_col).cast("string").alias("i"), heading.alias("h"), F.col(text_col).cast("string").alias("t"))
+    long = distinct_rows(long, "k")
 
     def cut(batches):
         for batch in batches:
-            out = [[] for _ in range(9)]
-            for key, item, head, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            out = [[] for _ in range(8)]
+            for item, head, text in zip(*(batch.column(i).to_pylist() for i in range(1, 4)), strict=True):
                 pieces = split_text(text, head, limit, overlap)
                 if len(pieces) > 1:
                     for no, (a, b, kind, piece) in enumerate(pieces):
-                        for column, value in zip(out, (key, item, no, a, b, b - a, kind, head, piece), strict=True):
+                        for column, value in zip(out, (item, no, a, b, b - a, kind, head, piece), strict=True):
                             column.append(value)
-            types = [pa.string(), pa.string(), *[pa.int32()] * 4, pa.string(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], ["k", *(c.split()[0] for c in PIECES.split(", "))])
+            types = [pa.string(), *[pa.int32()] * 4, pa.string(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], [c.split()[0] for c in PIECES.split(", ")])
 
-    return map_arrow(long, cut, "k string, " + PIECES).dropDuplicates(["k", "piece_no"]).drop("k")
+    return map_arrow(long, cut, PIECES)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import map_arrow, record_key
+from ledgerloom.operators.chunking import distinct_rows
 from ledgerloom.session import cut_lineage
 
 TERM = "[a-z]{2,}"
@@ -73,7 +74,8 @@ def term_frequencies(df: DataFrame, id_col: str, text_col: str, rare_below: int
     spark = df.sparkSession
     heavy = heavy_terms(df, text_col, heavy_share)
     heavy_b = spark.sparkContext.broadcast(heavy)
-    records = df.where(F.col(text_col).isNotNull()).select(record_key(id_col, text_col).alias("k"), F.col(text_col).cast("string").alias("t")).distinct()
+    records = df.where(F.col(text_col).isNotNull()).select(record_key(id_col, text_col).alias("k"), F.col(text_col).cast("string").alias("t"))
+    records = distinct_rows(records, "k")
     pattern = TERM
 
     def count(batches):

@@ -445,3 +445,39 @@ def test_mixture_meets_its_quotas(spark):
     assert len(shards) > 5 and all(sorted(p) == list(range(len(p))) for p in shards.values())
     again = rows_of(mixing.mixture(df.repartition(3), targets, "doc_id", "text", "source", shard_tokens=2000)[0], "id", "copy_no", "shard", "position")
     assert again == {(r.id, r.copy_no, r.shard, r.position) for r in rows}
+
+
+def test_many_shards_hold_disjoint_samples(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "DRIVER_NODES", 8)
+    monkeypatch.setattr(mixing, "EDGE_PARTS", 4)
+    rng = random.Random(21)
+    docs = [(i, "word " * rng.randint(5, 15), "big" if i % 4 else "small", 1) for i in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, tokens int")
+    targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.5, 5)], "source string, target_share double, max_repeats int")
+    mixed, report = mixing.mixture(df, targets, "doc_id", "text", "source", shard_tokens=500)
+    rows, said = mixed.collect(), {r.source: r for r in report.collect()}
+    assert max(collections.Counter((r.id, r.copy_no) for r in rows).values()) == 1
+    uses = collections.Counter(r.id for r in rows if r.source == "small")
+    assert max(uses.values()) <= 5 and abs(said["small"].actual_share - 0.5) < 0.01 and said["small"].reached and said["big"].reached
+    per_shard = collections.Counter()
+    for r in rows:
+        per_shard[r.shard] += r.tokens
+    n = -(-sum(per_shard.values()) // 500)
+    # every shard is filled about alike, and holds both sources
+    assert len(per_shard) == n > 50 and max(per_shard.values()) < 1000 and min(per_shard.values()) > 200
+    both = collections.defaultdict(set)
+    for r in rows:
+        both[r.shard].add(r.source)
+    assert sum(len(v) == 2 for v in both.values()) > 0.95 * n
+    counts = [x[3] for x in mixing.split_blocks([30, 7, 0], 9, 3)]
+    assert sum(c[0] for c in counts) == 30 and sum(c[1] for c in counts) == 7 and all(3 <= c.sum() <= 5 for c in counts)
+    with pytest.raises(ValueError, match="sources with a target"):
+        monkeypatch.setattr(mixing, "MAX_TARGETS", 1)
+        mixing.mixture(df, targets, "doc_id", "text", "source")
+
+
+def test_two_texts_of_one_id_are_split_apart(spark):
+    long = lambda w: " ".join(f"{w}{i}" for i in range(30))
+    df = spark.createDataFrame([("a", long("x")), ("a", long("y")), ("a", long("x"))], "id string, text string")
+    got = splitting.split_oversized(df, "id", "text", None, 20, 4).collect()
+    assert len(got) == 4 and all(len({w[0] for w in r.piece_text.split()}) == 1 for r in got)
