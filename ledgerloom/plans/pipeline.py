@@ -1,147 +1,7 @@
 """The four stages as whole runs: build a dataset, describe it, evaluate questions on it, score the results."""
 
-from __future__ import annotations
+from ledgerloom.plans.build import build_dataset, is_current, prune_dataset
+from ledgerloom.plans.evaluate import evaluate, results_of, retrieve, score
+from ledgerloom.plans.report import describe, is_fresh
 
-import datetime
-from functools import reduce
-from pathlib import Path
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ledgerloom.functions import text as T
-from ledgerloom.functions.providers import apply_provider
-from ledgerloom.operators import chunking, cleaning, dense, lexical, profile, scoring, selection, validation
-from ledgerloom.sources import publish, tables
-
-VERSION, SIZE, OVERLAP = 2, 400, 75
-#: Rows of a table that a report shows.
-SHOWN = 1000
-
-
-def build_dataset(spark: SparkSession, filings: DataFrame, raw: DataFrame, out: str, cutoff: str, counts: dict[str, int], size: int = SIZE, overlap: int = OVERLAP) -> dict:
-    """Selects the latest filings, cleans and cuts their contents (``raw``: local_raw_path, content), validates and publishes ``out``.
-
-    ``out`` holds chunks.parquet by ticker, cleaning_manifest.parquet and
-    manifest.json; it is replaced as a whole, or not at all if a step fails.
-    """
-    chunking.check_window(size, overlap)
-    dated = filings.withColumns({"ticker": T.norm_ticker(F.col("ticker")), "filed": T.parse_date(F.col("filing_date"))})
-    chosen = selection.latest_filings(dated, cutoff, counts).drop("rank", "filed")
-    cleaned = cleaning.clean_documents(chosen.join(raw.select("local_raw_path", "content"), "local_raw_path"), "content", "raw_format").drop("content")
-    chunks = chunking.chunk_texts(cleaned.select("company", "ticker", "cik", "filing_type", "filing_date", "accession_number", "source_url", F.col("local_raw_path").alias("source_file"), "cleaned_text"), "cleaned_text", size, overlap)
-    chunks = chunks.withColumn("chunk_schema_version", F.lit(VERSION))
-    stage = f"{out}.staged"
-    publish.refuse_existing(stage)
-    tables.write_partitioned(chunks, f"{stage}/chunks.parquet", "ticker")
-    cleaned.drop("cleaned_text").write.parquet(f"{stage}/cleaning_manifest.parquet")
-    written = spark.read.parquet(f"{stage}/chunks.parquet")
-    validation.assert_clean(validation.chunk_violations(written, size, cutoff, T.parse_date(F.col("filing_date"))))
-    # ids are sorted within a filing; the hash of the hashes is independent of the order of filings
-    total = written.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("chunk_id", "text")).alias("h")).first()
-    manifest = publish.write_manifest(f"{stage}/manifest.json", {"schema_version": VERSION, "size": size, "overlap": overlap, "cutoff": cutoff, "counts": counts, "chunks": total.n, "content": str(total.h)})
-    publish.publish({stage: out})
-    return manifest
-
-
-def describe(spark: SparkSession, folder: str, out: str) -> str:
-    """Writes report.md of a dataset: counts, words, sections, missing values; a table of more than 1,000 rows stands whole in a folder of CSV beside it, which the report names."""
-    chunks, cleaned = spark.read.parquet(f"{folder}/chunks.parquet"), spark.read.parquet(f"{folder}/cleaning_manifest.parquet")
-    parts = {
-        "Chunks by ticker and form": profile.chunk_profile(chunks, ["ticker", "filing_type"]).orderBy("ticker", "filing_type"),
-        "Words of a chunk": profile.describe(chunks, F.col("word_count")),
-        "Most frequent sections": profile.section_profile(chunks).orderBy(F.desc("chunks"), "section_heading").limit(10),
-        "Missing values": profile.missingness(chunks, "chunks", ["company", "cik", "section_heading", "text"]).unionByName(profile.missingness(cleaned, "cleaning_manifest", ["source_url", "warnings"])),
-        "Lengths kept": profile.describe(cleaned, 100 * F.col("cleaned_length") / F.nullif("raw_length", F.lit(0))),
-    }
-    shown = []
-    for title, df in parts.items():
-        # each table is an aggregate; the report shows its first 1,000 rows
-        rows = [tuple(r) for r in df.limit(SHOWN + 1).collect()]
-        body = publish.markdown_table(df.columns, rows[:SHOWN])
-        if len(rows) > SHOWN:
-            name = title.lower().replace(" ", "_") + ".csv"
-            df.write.mode("overwrite").option("header", True).csv(f"{out}/{name}")
-            body += f"\n\nThe first {SHOWN:,} of {df.count():,} rows; all are in `{name}`."
-        shown.append(f"## {title}\n\n{body}")
-    text = "# Dataset report\n\n" + "\n\n".join(shown) + "\n"
-    publish.write_atomic(f"{out}/report.md", text)
-    return text
-
-
-def evaluate(spark: SparkSession, questions: DataFrame, chunks: DataFrame, log: str, run: str, retrievers: list[str], k: int = 5, answer=None, embed=None, llm_model: str = "none") -> DataFrame:
-    """Retrieves for each question and retriever without an ok result in ``log``, answers, appends, and returns the last result of each pair.
-
-    ``answer`` and ``embed`` are providers (``functions/providers.py``). Without
-    ``answer`` the generation is an error that says so; without ``embed`` the
-    dense retriever is. The forms a question names limit what is retrieved; a
-    comparing question has a place for each.
-    """
-    validation.assert_clean(validation.eval_violations(questions).where("metric NOT IN ('answer_missing')"))
-    schema = tables.RESULT + ", attempt long"
-    before = spark.read.schema(schema).json(log) if Path(log).exists() else spark.createDataFrame([], schema)
-    work = selection.open_work(questions, retrievers, before.where(F.col("run_fingerprint") == run), ["qa_id"], ["attempt"])
-    forms = T.form_mentions(F.col("question"))
-    asked = work.withColumns({"ticker": T.norm_ticker(F.col("ticker")), "forms": forms, "each": T.compares(F.col("question")) & (F.size(forms) > 1)})
-    found = []
-    if "bm25" in retrievers:
-        wanted = asked.where("retriever = 'bm25'")
-        records = lexical.records_of(chunks, "ticker", "chunk_id", "text", "filing_type")
-        best = lexical.best_of_index(records, lexical.terms_of(records), wanted.select(F.col("qa_id").alias("query"), F.col("ticker").alias("part"), "question", F.col("forms").alias("allowed")), k, per_group=True)
-        found.append(best.select(F.col("query").alias("qa_id"), F.col("key").alias("chunk_id"), "score", F.lit("bm25").alias("retriever")))
-    failed = []
-    if "faiss" in retrievers:
-        if embed is None:
-            failed.append("faiss")
-        else:
-            part = lambda form: F.concat_ws("|", "ticker", F.upper(F.trim(form)))
-            rows = apply_provider(chunks.withColumn("__d", scoring.embedding_document()), "__d", "vector", "array<float>", embed).select("chunk_id", part(F.col("filing_type")).alias("part"), "vector")
-            qs = apply_provider(asked.where("retriever = 'faiss'"), "question", "vector", "array<float>", embed)
-            kinds = chunks.groupBy("ticker").agg(F.collect_set(F.upper(F.trim("filing_type"))).alias("kinds"))
-            qs = qs.join(kinds, "ticker", "left").withColumn("own", F.transform(F.when(F.size("forms") > 0, F.col("forms")).otherwise(F.coalesce("kinds", F.array().cast("array<string>"))), part))
-            # the best k of each form of the ticker hold the best k of any choice of forms
-            hits = dense.dense_top_k(rows, "chunk_id", "vector", qs, "qa_id", "vector", k, group="part", allowed="own", per_group=True)
-            found.append(hits.select(F.col("query").alias("qa_id"), F.col("key").alias("chunk_id"), "score", F.lit("faiss").alias("retriever")))
-    about = chunks.select("chunk_id", "filing_type", "filing_date", "section_heading", "text", F.col("ticker").alias("t"))
-    one = asked.select("qa_id", "retriever", "forms", "each").withColumn("pair", F.concat_ws("|", "qa_id", "retriever"))
-    joined = reduce(DataFrame.unionByName, found).join(about, "chunk_id").join(one, ["qa_id", "retriever"]) if found else None
-    work_rows = asked.withColumn("pair", F.concat_ws("|", "qa_id", "retriever"))
-    if joined is not None:
-        ranked = profile_rank(joined)
-        chosen = selection.reserved_top_k(ranked, "pair", "filing_type", "rank", k, "forms", "each").withColumn("rank", F.col("place"))
-        listed = chosen.withColumn("doc", T.doc_id(F.col("t"), F.col("filing_type"), F.col("filing_date"))).groupBy("pair").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "doc", "score", "section_heading", "filing_date"))).alias("h"))
-        context = scoring.prompt_context(chosen, "pair")
-        work_rows = work_rows.join(listed, "pair", "left").join(context, "pair", "left")
-    else:
-        work_rows = work_rows.withColumns({"h": F.lit(None).cast("array<struct<rank:int,chunk_id:string,doc:string,score:double,section_heading:string,filing_date:string>>"), "context": F.lit(None).cast("string")})
-    lost = F.col("retriever").isin(failed or ["-"])
-    prompt = F.when(~lost, F.concat_ws("\n\n", "question", F.coalesce("context", F.lit(""))))
-    answered = apply_provider(work_rows.withColumn("__p", prompt), "__p", "llm_answer", "string", answer)
-    joined_list = lambda f: F.array_join(F.transform("h", lambda x: x[f].cast("string")), "|")
-    generation = F.when(lost, "not_run").when(F.col("llm_answer_status") == "ok", "ok").otherwise("error")
-    retrieval = F.when(lost, "error").otherwise("ok")
-    rows = answered.select(
-        F.lit(2).alias("schema_version"), F.lit(run).alias("run_fingerprint"), "qa_id", "ticker", F.col("question_id").cast("int"), F.col("category").cast("int"), T.parse_boolean(F.col("answerable")).alias("answerable"), "question",
-        F.col("answer").alias("ground_truth"), "source_doc_id", "source_doc_ids", F.lit(None).cast("string").alias("source_chunk_ids"), "llm_answer", joined_list("chunk_id").alias("retrieved_chunk_ids"), joined_list("doc").alias("retrieved_doc_ids"),
-        joined_list("score").alias("retrieval_scores"), joined_list("section_heading").alias("retrieved_sections"), joined_list("filing_date").alias("retrieved_filing_dates"), F.lit(k).alias("retrieval_k"), "retriever", F.lit(llm_model).alias("llm_model"),
-        retrieval.alias("retrieval_status"), F.when(lost, "no embedding provider").alias("retrieval_error"), generation.alias("generation_status"), F.when(generation == "error", F.coalesce("llm_answer_error", F.lit("no answer provider"))).alias("generation_error"),
-        scoring.overall_status(retrieval, generation).alias("status"), F.lit(int(datetime.datetime.now(datetime.UTC).timestamp() * 1e6)).alias("attempt"),
-    )
-    tables.append_checkpoint(rows, log)
-    return selection.last_written(spark.read.schema(schema).json(log), ["run_fingerprint", "qa_id", "retriever"], ["attempt"])
-
-
-def profile_rank(joined: DataFrame) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    return joined.withColumn("rank", F.row_number().over(Window.partitionBy("pair").orderBy(F.desc("score"), F.asc("chunk_id"))))
-
-
-def score(results: DataFrame, out: str) -> DataFrame:
-    """Validates results, writes them with their metrics as parquet (never over an existing one), and returns the means by retriever, ticker, category and answerability."""
-    publish.refuse_existing(out)
-    validation.assert_clean(validation.result_violations(results, 2, ["bm25", "faiss"]).where("metric IN ('duplicate_pair', 'status_inconsistent', 'schema_version_wrong')"))
-    scored = scoring.score_results(results)
-    scored.write.parquet(out)
-    labelled = results.sparkSession.read.parquet(out).withColumn("category_label", F.element_at(F.create_map(*[F.lit(x) for kv in T.CATEGORY_LABELS.items() for x in kv]), F.col("category")))
-    return profile.metric_means(labelled, [["retriever"], ["ticker", "retriever"], ["category_label", "retriever"], ["answerable", "retriever"]])
+__all__ = ["build_dataset", "describe", "evaluate", "is_current", "is_fresh", "prune_dataset", "results_of", "retrieve", "score"]

@@ -25,6 +25,11 @@ class Files:
         fs, p = self._at(path)
         return fs.exists(p) and fs.getFileStatus(p).isDirectory()
 
+    def modified(self, path: str) -> int | None:
+        """When the file or folder was written, in milliseconds; None where there is none."""
+        fs, p = self._at(path)
+        return fs.getFileStatus(p).getModificationTime() if fs.exists(p) else None
+
     def read(self, path: str) -> str:
         fs, p = self._at(path)
         if not fs.exists(p):

@@ -1,13 +1,15 @@
-"""Durable results: manifests, atomic writes, publication with rollback, pruning."""
+"""Durable results on the file system that their paths name: manifests, atomic writes, publication with rollback, pruning."""
 
 from __future__ import annotations
 
 import hashlib
 import json
-import os
-import shutil
+import posixpath
 import uuid
-from pathlib import Path
+
+from pyspark.sql import SparkSession
+
+from ledgerloom.sources.files import Files
 
 
 def canonical_json(value) -> str:
@@ -18,35 +20,15 @@ def fingerprint(value) -> str:
     return hashlib.sha256(canonical_json(value).encode()).hexdigest()
 
 
-def file_sha256(path: str) -> str:
-    with open(path, "rb") as f:
-        return hashlib.file_digest(f, "sha256").hexdigest()
-
-
-def write_atomic(path: str, text: str) -> None:
-    """The whole text or the former file: written beside, flushed, then moved."""
-    p = Path(path)
-    p.parent.mkdir(parents=True, exist_ok=True)
-    other = p.with_name(f".{p.name}.{uuid.uuid4().hex}")
-    try:
-        with other.open("w", encoding="utf-8") as f:
-            f.write(text)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(other, p)
-    finally:
-        other.unlink(missing_ok=True)
-
-
-def write_manifest(path: str, settings: dict) -> dict:
+def write_manifest(spark: SparkSession, path: str, settings: dict) -> dict:
     made = settings | {"manifest_fingerprint": fingerprint(settings)}
-    write_atomic(path, json.dumps(made, indent=2, sort_keys=True, ensure_ascii=False))
+    Files(spark).write(path, json.dumps(made, indent=2, sort_keys=True, ensure_ascii=False))
     return made
 
 
-def check_manifest(path: str, expected: dict) -> dict:
+def check_manifest(spark: SparkSession, path: str, expected: dict) -> dict:
     """The manifest, if it is whole and has the expected settings; else an error that names the differing ones."""
-    said = json.loads(Path(path).read_text(encoding="utf-8"))
+    said = json.loads(Files(spark).read(path))
     body = {k: v for k, v in said.items() if k != "manifest_fingerprint"}
     if said.get("manifest_fingerprint") != fingerprint(body):
         raise ValueError(f"{path} was changed after it was written")
@@ -56,50 +38,51 @@ def check_manifest(path: str, expected: dict) -> dict:
     return said
 
 
-def inside(root: str, path: str) -> Path:
-    """The path, if it lies in ``root`` when links are followed."""
-    r, p = Path(root).resolve(), Path(root, path).resolve()
-    if not p.is_relative_to(r):
-        raise ValueError(f"{path} lies outside {root}")
-    return p
+def inside(path: str) -> str:
+    """A path below a root, without steps out of it."""
+    plain = posixpath.normpath(path)
+    if plain.startswith(("/", "..")) or "://" in path:
+        raise ValueError(f"{path} lies outside the folder")
+    return plain
 
 
-def publish(staged: dict[str, str]) -> None:
+def publish(spark: SparkSession, staged: dict[str, str]) -> None:
     """Moves each staged file or folder to its target, all or none: on failure what was replaced is put back."""
-    token, done = uuid.uuid4().hex, []
+    files, token, done = Files(spark), uuid.uuid4().hex, []
     try:
         for source, target in staged.items():
-            t = Path(target)
-            t.parent.mkdir(parents=True, exist_ok=True)
-            backup = t.with_name(f".{t.name}.{token}")
-            had = t.exists()
+            parent, name = posixpath.split(target.rstrip("/"))
+            backup = f"{parent}/_{name}.{token}"
+            had = files.exists(target)
             if had:
-                os.replace(t, backup)
-            done.append((t, backup, had))
-            os.replace(source, t)
+                files.move(target, backup)
+            done.append((target, backup, had))
+            files.move(source, target)
     except BaseException:
-        for t, backup, had in reversed(done):
-            if t.exists():
-                shutil.rmtree(t) if t.is_dir() else t.unlink()
+        for target, backup, had in reversed(done):
+            if files.exists(target):
+                files.delete(target)
             if had:
-                os.replace(backup, t)
+                files.move(backup, target)
         raise
     for _, backup, had in done:
         if had:
-            shutil.rmtree(backup) if backup.is_dir() else backup.unlink()
+            files.delete(backup)
 
 
-def prune(root: str, referenced: list[str]) -> list[str]:
-    """Deletes the files of ``root`` that nothing refers to; returns them. A reference outside ``root`` stops it before anything is deleted."""
-    keep = {inside(root, r) for r in referenced}
-    gone = [p for p in sorted(Path(root).rglob("*")) if p.is_file() and p.resolve() not in keep]
+def prune(spark: SparkSession, root: str, referenced: list[str]) -> list[str]:
+    """Deletes the files of ``root`` that nothing refers to, by paths below it, nor to a folder that holds them; returns them. A reference outside ``root`` stops it before anything is deleted."""
+    keep = {inside(r) for r in referenced}
+    files = Files(spark)
+    kept = lambda p: p in keep or any(p.startswith(f"{k}/") for k in keep)
+    gone = [p for p, _ in files.files(root) if not kept(p)]
     for p in gone:
-        p.unlink()
-    return [str(p) for p in gone]
+        files.delete(f"{root}/{p}")
+    return gone
 
 
-def refuse_existing(*paths: str) -> None:
-    found = [p for p in paths if Path(p).exists()]
+def refuse_existing(spark: SparkSession, *paths: str) -> None:
+    found = [p for p in paths if Files(spark).exists(p)]
     if found:
         raise FileExistsError(f"already there: {', '.join(found)}")
 

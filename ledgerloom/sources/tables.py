@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import json
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerloom.functions.text import is_missing
+from ledgerloom.sources.files import Files
+from ledgerloom.sources.publish import publish
+
 FILING = "company string, ticker string, cik string, filing_type string, filing_date string, accession_number string, source_url string, local_raw_path string, raw_format string, local_markdown_path string, human_readable_format string, human_readable_warning string"
 CLEANED = FILING + ", local_cleaned_path string, raw_length int, cleaned_length int, warnings array<string>"
 CHUNK = "chunk_schema_version int, company string, ticker string, cik string, filing_type string, filing_date string, accession_number string, source_url string, source_file string, chunk_id string, chunk_index int, section_heading string, text string, word_count int"
@@ -29,92 +30,85 @@ def read_csv(spark: SparkSession, path: str, schema: str, encoding: str = "utf-8
     return spark.read.csv(path, schema=schema, header=True, multiLine=True, escape='"', quote='"', encoding=encoding, enforceSchema=False)
 
 
-def csv_encoding(path: str) -> str:
-    """utf-8 if the file is, else latin-1; decoded in pieces."""
-    import codecs
-
-    decoder = codecs.getincrementaldecoder("utf-8")()
-    with open(path, "rb") as f:
-        try:
-            while piece := f.read(1 << 20):
-                decoder.decode(piece)
-            decoder.decode(b"", final=True)
-        except UnicodeDecodeError:
-            return "latin-1"
-    return "utf-8"
+def csv_encoding(spark: SparkSession, path: str) -> str:
+    """utf-8 if all lines of the file or folder are, else latin-1."""
+    lines = spark.read.text(path)
+    return "utf-8" if lines.where(~F.is_valid_utf8("value")).isEmpty() else "latin-1"
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON array or object over several lines; a missing file names the stage that makes it."""
-    _must_exist(path)
+    _must_exist(spark, path)
     return spark.read.json(path, schema=schema, multiLine=True)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON object a line; blank lines are none, malformed ones raise an error."""
-    _must_exist(path)
+    _must_exist(spark, path)
     return spark.read.schema(schema).json(path, mode="FAILFAST")
 
 
-def _must_exist(path: str) -> None:
-    if "://" not in path and not Path(path).exists():
+def read_records(spark: SparkSession, path: str, schema: str, required: list[str], defaults: dict[str, object] | None = None) -> DataFrame:
+    """JSON lines or an array (by a name that ends in ``.json``) with defaults for missing values; a record without a required one raises an error that names it."""
+    rows = read_json(spark, path, schema) if path.endswith(".json") else read_jsonl(spark, path, schema)
+    for c, v in (defaults or {}).items():
+        rows = rows.withColumn(c, F.coalesce(F.col(c), F.lit(v)))
+    lacking = F.concat_ws(", ", *[F.when(is_missing(F.col(c)), F.lit(c)) for c in required])
+    first = required[0]
+    return rows.withColumn(first, F.when(lacking != "", F.raise_error(F.concat(F.lit("a record lacks "), lacking))).otherwise(F.col(first)))
+
+
+def _must_exist(spark: SparkSession, path: str) -> None:
+    if not Files(spark).exists(path):
         raise FileNotFoundError(f"{path} is missing; run the preceding pipeline stage")
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """path, content of whole files; bytes that aren't UTF-8 become replacement characters."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.decode("content", F.lit("UTF-8")).alias("content"))
+    return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def read_checkpoint(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The records of an append-only log with ``log_no``, their order.
+    """The records of an append-only log, a file or a folder of them, with ``log_file``, ``log_at`` and ``log_no``: where each stands in its file.
 
-    A malformed last line, the trace of an interrupted write, is left out; a
-    malformed line elsewhere raises an error when it is read.
+    A malformed last line of a file, the trace of an interrupted write, is left
+    out; a malformed line elsewhere raises an error when it is read. Records of
+    different files are ordered by what they hold.
     """
-    _must_exist(path)
-    lines = spark.read.text(path, wholetext=False).where(F.trim("value") != "").withColumn("log_no", F.monotonically_increasing_id())
+    _must_exist(spark, path)
+    place = {"log_file": F.input_file_name(), "log_at": F.input_file_block_start(), "log_no": F.monotonically_increasing_id()}
+    lines = spark.read.text(path).withColumns(place).where(F.trim("value") != "")
     parsed = lines.withColumn("r", F.from_json("value", f"{schema}, __bad string", {"columnNameOfCorruptRecord": "__bad", "mode": "PERMISSIVE"}))
-    last = lines.agg(F.max("log_no").alias("last"))
-    flagged = parsed.join(F.broadcast(last)).where(F.col("r.__bad").isNull() | (F.col("log_no") < F.col("last")))
-    checked = flagged.withColumn("r", F.when(F.col("r.__bad").isNotNull(), F.raise_error(F.concat(F.lit("malformed record: "), F.left("value", F.lit(80))))).otherwise(F.col("r")))
-    return checked.select("r.*", "log_no").drop("__bad")
-
-
-def repair_log(path: str) -> None:
-    """Gives a local log its last line feed, and takes off a last line that isn't whole."""
-    p = Path(path)
-    if not p.exists() or not p.stat().st_size:
-        return
-    with p.open("rb+") as f:
-        # the last line, looked for from the end in growing steps
-        size, step = p.stat().st_size, 4096
-        while True:
-            start = max(0, size - step)
-            f.seek(start)
-            tail = f.read()
-            cut = tail.rstrip(b"\n").rfind(b"\n")
-            if cut >= 0 or start == 0:
-                break
-            step *= 4
-        last = tail[cut + 1 :]
-        try:
-            json.loads(last)
-        except ValueError:
-            f.truncate(start + cut + 1)
-            return
-        if not last.endswith(b"\n"):
-            f.seek(0, 2)
-            f.write(b"\n")
-
-
-def newest_run(folder: str, name: str = "eval_results.csv") -> str:
-    """The latest written ``*/name`` of a local folder."""
-    found = sorted(Path(folder).glob(f"*/{name}"), key=lambda p: (p.stat().st_mtime, str(p)))
+    good = parsed.where("r.__bad IS NULL").select("r.*", *place).drop("__bad")
+    # malformed lines are few: they meet the last place of their file
+    ends = lines.groupBy("log_file").agg(F.max(F.struct("log_at", "log_no")).alias("end"))
+    bad = parsed.where("r.__bad IS NOT NULL").join(ends, "log_file").where(F.struct("log_at", "log_no") < F.col("end"))
+    # one row: a malformed line, if there is any
+    first = bad.agg(F.max(F.left("value", F.lit(80))).alias("__bad"))
+    whole = F.when(F.col("__bad").isNotNull(), F.raise_error(F.concat(F.lit("malformed record: "), F.col("__bad"))).cast("boolean")).otherwise(True)
+    return good.join(first, F.lit(True)).where(whole).drop("__bad")
+
+
+def repair_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The whole records of a log, after its malformed last lines were taken off: the log is written anew beside and put in place, if there are any."""
+    records = read_checkpoint(spark, path, schema)
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    if lines.count() == records.count():
+        return records
+    whole = records.orderBy("log_file", "log_at", "log_no").drop("log_file", "log_at", "log_no")
+    staged = f"{path.rstrip('/')}.repaired"
+    whole.write.mode("overwrite").json(staged, ignoreNullFields=False)
+    publish(spark, {staged: path})
+    return read_checkpoint(spark, path, schema)
+
+
+def newest_run(spark: SparkSession, folder: str, name: str = "results") -> str:
+    """The latest written ``*/name`` of a folder."""
+    found = sorted((t, p) for run in Files(spark).names(folder) if (t := Files(spark).modified(p := f"{folder}/{run}/{name}")) is not None)
     if not found:
         raise FileNotFoundError(f"no {name} below {folder}")
-    return str(found[-1])
+    return found[-1][1]
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str], order: list[str], mode: str = "errorifexists") -> None:
