@@ -126,3 +126,14 @@ def category_deltas(deltas: DataFrame, category: str) -> DataFrame:
     """Mean delta by category and metric, raw and over the metric's range."""
     span = F.element_at(F.create_map(*[F.lit(x) for m in METRICS for x in (m, RANGES[m][1] - RANGES[m][0])]), F.col("metric"))
     return deltas.groupBy(category, "metric").agg(F.avg("delta").alias("d"), F.count(F.lit(1)).alias("n")).select(category, "metric", "n", F.round("d", 6).alias("mean_delta"), F.round(F.col("d") / span, 6).alias("normalized_delta"))
+
+
+def means_over(scored: DataFrame, dims: dict[str, list]) -> DataFrame:
+    """Means of the metrics for every combination of the given values, also of those without a row, which count 0 and have null means."""
+    spark, kinds = scored.sparkSession, dict(scored.dtypes)
+    spine = None
+    for d, values in dims.items():
+        one = spark.createDataFrame([(v,) for v in values], f"{d} {kinds[d]}")
+        spine = one if spine is None else spine.join(one, F.lit(True))  # a few given values
+    counted = scored.groupBy(*dims).agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(m) + 1e-9, 4).alias(m) for m in METRICS])
+    return spine.join(counted, list(dims), "left").select(*dims, F.coalesce("n", F.lit(0)).alias("n"), *METRICS)

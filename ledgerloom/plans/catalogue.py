@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -9,6 +11,8 @@ from ledgerloom.functions import text as T
 from ledgerloom.operators import chunking, cleaning, dense, lexical, profile, scoring, selection, validation
 from ledgerloom.plans import inputs
 from ledgerloom.plans.oracle import ORACLE as _SQL
+from ledgerloom.session import ensure_checkpoint_dir
+from ledgerloom.sources import tables
 from ledgerloom.sources.tables import read_parquet
 
 QUERIES, COUNTS, K = {}, {"10-K": 1, "10-Q": 1, "8-K": 1}, 5
@@ -161,6 +165,16 @@ def manifest_gaps(spark, d):
     return read_parquet(spark, d, "chunks").select("accession_number").distinct().join(read_parquet(spark, d, "cleaning_manifest"), "accession_number", "left_anti")
 
 
+def _latest(spark, d):
+    return selection.latest_filings(inputs.filings(spark, d), inputs.CUTOFF, COUNTS)
+
+
+@query
+def chunks_beyond_latest(spark, d):
+    """Accession numbers of chunks of other filings than the latest."""
+    return read_parquet(spark, d, "chunks").select("accession_number").distinct().join(_latest(spark, d).select("accession_number"), "accession_number", "left_anti")
+
+
 @query
 def set_operations(spark, d):
     c, f = (read_parquet(spark, d, t).select(T.norm_ticker(F.col("ticker")).alias("ticker"), "filing_type").distinct() for t in ("chunks", "filings"))
@@ -305,6 +319,13 @@ def gold_referential(spark, d):
     return validation.missing_gold(inputs.questions(spark, d), docs)
 
 
+@query
+def gold_beyond_latest(spark, d):
+    """Gold documents that are none of the latest filings."""
+    docs = _latest(spark, d).select(T.doc_id(F.col("ticker"), F.col("filing_type"), F.col("filing_date")).alias("doc_id"))
+    return validation.missing_gold(inputs.questions(spark, d), docs)
+
+
 @query
 def coverage_matrix(spark, d):
     """2: several documents asked for, 1: answered, 0: open; of each ticker and question the greatest."""
@@ -334,6 +355,17 @@ def metric_means(spark, d):
     return profile.metric_means(scored, [["retriever"], ["ticker", "retriever"], ["category_label", "retriever"], ["answerable", "retriever"]])
 
 
+@query
+def category_means(spark, d):
+    """Means by category and retriever, of all categories."""
+    return profile.means_over(inputs.scored(spark, d), {"category": list(T.CATEGORY_LABELS), "retriever": ["bm25", "faiss"]})
+
+
+@query
+def answerable_means(spark, d):
+    return profile.means_over(inputs.scored(spark, d), {"answerable": [True, False], "retriever": ["bm25", "faiss"]})
+
+
 @query
 def metric_availability(spark, d):
     return profile.availability(inputs.scored(spark, d), ["retriever"])
@@ -373,6 +405,46 @@ def category_deltas(spark, d):
     return profile.category_deltas(_deltas(spark, d), "category")
 
 
+# what is written and read again
+
+
+def _scratch(spark):
+    return f"{ensure_checkpoint_dir(spark)}/round-trip-{uuid.uuid4().hex}"
+
+
+@query
+def csv_round_trip(spark, d):
+    """The questions as CSV, with the line breaks and quotes of their texts."""
+    path, blank = _scratch(spark), lambda c: F.nullif(F.col(c), F.lit(""))
+    q = inputs.questions(spark, d).drop("ticker").join(read_parquet(spark, d, "eval_set").select("qa_id", "ticker").distinct(), "qa_id").withColumn("answerable", F.col("answerable").cast("string"))
+    columns = [f.split()[0] for f in tables.QUESTION.split(", ")]
+    tables.write_csv(q, path, columns, ["qa_id"])
+    read = tables.read_csv(spark, path, tables.QUESTION, tables.csv_encoding(spark, path))
+    return read.select("qa_id", "question_id", F.md5("question").alias("question_md5"), F.md5(blank("answer")).alias("answer_md5"), blank("ticker").alias("ticker"), "category", blank("answerable").alias("answerable"), blank("source_doc_ids").alias("source_doc_ids"))
+
+
+@query
+def jsonl_round_trip(spark, d):
+    """The chunks as JSON lines in order."""
+    path = _scratch(spark)
+    columns = [f.split()[0] for f in tables.CHUNK.split(", ")]
+    tables.write_jsonl(inputs.chunks(spark, d), path, columns, ["accession_number", "chunk_index", "chunk_id"])
+    return tables.read_jsonl(spark, path, tables.CHUNK).select("chunk_id", "chunk_index", F.md5("text").alias("text_md5"), "section_heading", "cik", "word_count")
+
+
+@query
+def log_round_trip(spark, d):
+    """The results appended to a log in two commits and read back, the last of each pair."""
+    path = _scratch(spark)
+    r = read_parquet(spark, d, "eval_results")
+    schema = tables.RESULT + ", recorded_at timestamp_ntz"
+    columns = [f.split()[0] for f in schema.split(", ")]
+    for half in (0, 1):
+        tables.append_checkpoint(r.where(F.pmod(F.xxhash64("qa_id", "recorded_at"), F.lit(2)) == half).select(*columns), path)
+    last = selection.last_written(tables.read_checkpoint(spark, path, schema).select(*columns), ["run_fingerprint", "qa_id", "retriever"], ["recorded_at"])
+    return last.select("run_fingerprint", "qa_id", "retriever", "status", F.md5("llm_answer").alias("answer_md5"))
+
+
 # scalar functions
 
 

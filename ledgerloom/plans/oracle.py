@@ -1,5 +1,7 @@
 """SQL for DuckDB that gives the results of the queries of ``catalogue``."""
 
+from ledgerloom.operators.cleaning import ITEM_TITLES
+
 _W = r"\t-\r\x{0020}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
@@ -106,6 +108,10 @@ _PAIRS = [(a, b) for i, a in enumerate(_METRICS[2:6] + ["word_overlap_f1"]) for
 
 _EVERY = "every AS (SELECT q.qa_id, txt.chunk_id, txt.filing_type, upper(trim(coalesce(txt.filing_type, ''))) AS form, coalesce(score, 0.0) AS score, forms, compares AND len(forms) > 1 AS need FROM q JOIN txt USING (ticker) JOIN fo ON fo.qa_id = q.qa_id LEFT JOIN hit ON hit.qa_id = q.qa_id AND hit.chunk_id = txt.chunk_id WHERE len(forms) = 0 OR list_contains(forms, upper(trim(txt.filing_type))))"
 
+# the form of item headings, and the titles of items without one
+_ITEM = r"(?i)^(item)\s+((?:[0-9]+[a-z]?|[ivx]+)(?:\s*\.\s*[0-9]+[a-z]?)?)(.*)$"
+_TITLES = " ".join(f"WHEN '{n}' THEN '{t.replace(chr(39), chr(39) * 2)}'" for n, t in ITEM_TITLES.items())
+
 ORACLE = {
     "chunk_documents": f"""
         WITH t AS (SELECT doc_id, {_words('text')} AS w FROM documents), s AS (SELECT doc_id, w, list_filter(range(0, len(w), 325), lambda s: s = 0 OR s + 75 < len(w)) AS st FROM t),
@@ -181,4 +187,29 @@ ORACLE = {
     "row_fingerprints": f"WITH {_CHUNKS} SELECT chunk_id, sha256(chunk_id || chr(31) || coalesce(text, '')) AS sha256 FROM chunk",
     "sequence_fingerprints": f"WITH {_CHUNKS} SELECT accession_number, sha256(string_agg(chunk_id, '|' ORDER BY chunk_index, chunk_id)) AS sha256, count(*)::BIGINT AS chunks FROM chunk GROUP BY accession_number",
     "quality_warnings": f"SELECT doc_id, array_to_string(list_filter([CASE WHEN length(t) = 0 THEN 'cleaned_text_is_empty' END, CASE WHEN contains(lower(t), '<table') THEN 'html_tables_flattened_to_text' END, CASE WHEN length(t) > 0 AND NOT contains(t, '## ') THEN 'no_section_headings_detected' END, CASE WHEN length(t) > 0 AND len({_words('t')}) < 100 THEN 'very_short_cleaned_text' END], lambda x: x IS NOT NULL), ',') AS warnings FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
+    "normal_lines": rf"""WITH t AS (SELECT doc_id, string_split(regexp_replace(replace(replace(coalesce(text, ''), chr(160), ' '), chr(8203), ''), '\r\n|[\r\f\x{{0B}}\x{{1C}}\x{{1D}}\x{{1E}}\x{{85}}\x{{2028}}\x{{2029}}]', chr(10), 'g'), chr(10)) AS ls FROM documents),
+        l AS (SELECT doc_id, list_filter(list_transform(ls, lambda x: {_squeeze('x')}), lambda x: NOT regexp_full_match(lower(x), 'page [0-9]+|(page )?[0-9]+ of [0-9]+')) AS ls FROM t),
+        j AS (SELECT doc_id, regexp_replace(array_to_string(ls, chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g') AS s FROM l)
+        SELECT doc_id, md5(s) AS lines_md5, len(string_split(s, chr(10)))::INT AS lines FROM j""",
+    "item_headings": rf"""WITH h AS (SELECT DISTINCT section_heading, {_squeeze('section_heading')} AS line FROM chunks WHERE section_heading IS NOT NULL),
+        p AS (SELECT *, regexp_extract(line, '{_ITEM}', ['label', 'no', 'rest']) AS m FROM h),
+        n AS (SELECT *, nullif(upper(regexp_replace(m.no, '\s+', '', 'g')), '') AS number, nullif(trim({_squeeze('m.rest')}, ' .:'), '') AS title FROM p)
+        SELECT section_heading, number, CASE WHEN number IS NOT NULL THEN m.label || ' ' || number || coalesce('. ' || coalesce(title, CASE number {_TITLES} END), '') END AS heading FROM n""",
+    "section_windows": rf"""WITH {_CHUNKS}, w AS (SELECT accession_number, min(ticker) AS ticker, string_agg('## ' || coalesce(nullif({_squeeze('section_heading')}, ''), 'unknown') || chr(10) || text, chr(10) ORDER BY chunk_index, chunk_id) AS t FROM chunk WHERE text IS NOT NULL GROUP BY accession_number),
+        p AS (SELECT accession_number, ticker, string_split(regexp_replace(chr(10) || t, '\n(## )', chr(1) || '\1', 'g'), chr(1)) AS ps FROM w),
+        u AS (SELECT accession_number, ticker, unnest(ps) AS part, unnest(range(len(ps))) AS no FROM p),
+        l AS (SELECT *, list_filter(list_transform(string_split(part, chr(10)), lambda x: {_strip('x')}), lambda x: x <> '') AS ls FROM u),
+        s AS (SELECT *, coalesce(regexp_matches(ls[1], '^##(\s|$)'), false) AS headed FROM l),
+        b AS (SELECT *, CASE WHEN headed THEN coalesce(nullif({_squeeze("regexp_replace(ls[1], '^##[[:space:]]*', '')")}, ''), 'unknown') ELSE 'unknown' END AS section_heading, array_to_string(CASE WHEN headed THEN ls[2:] ELSE ls END, chr(10) || chr(10)) AS body FROM s),
+        k AS (SELECT *, {_words('body')} AS ws FROM b WHERE regexp_matches(body, '[A-Za-z]{{2,}}')),
+        e AS (SELECT *, unnest(list_filter(range(0, len(ws), 325), lambda x: x = 0 OR x + 75 < len(ws))) AS st FROM k),
+        i AS (SELECT *, row_number() OVER (PARTITION BY accession_number ORDER BY no, st) - 1 AS ix FROM e)
+        SELECT accession_number, ix::INT AS chunk_index, concat_ws('_', lower({_strip('ticker')}), regexp_replace(accession_number, '[^A-Za-z0-9]+', '', 'g'), lpad(ix::VARCHAR, greatest(4, length(ix::VARCHAR))::INT, '0')) AS chunk_id, section_heading, least(400, len(ws) - st)::INT AS word_count, md5(array_to_string(ws[st + 1 : st + 400], ' ')) AS text_md5 FROM i""",
+    "gold_beyond_latest": f"WITH {_QUESTIONS}, {_FILINGS}, g AS (SELECT DISTINCT qa_id, unnest({_GOLD}) AS doc_id FROM q), n AS (SELECT * FROM f WHERE filed <= DATE '2026-07-14' AND filing_type IN ('10-K', '10-Q', '8-K') QUALIFY row_number() OVER (PARTITION BY ticker, filing_type ORDER BY filed DESC, accession_number DESC) = 1), a AS (SELECT DISTINCT concat_ws('_', ticker, {_strip('filing_type')}, {_strip('filing_date')}) AS doc_id FROM n) SELECT qa_id, doc_id FROM g ANTI JOIN a USING (doc_id)",
+    "chunks_beyond_latest": f"WITH {_FILINGS}, n AS (SELECT * FROM f WHERE filed <= DATE '2026-07-14' AND filing_type IN ('10-K', '10-Q', '8-K') QUALIFY row_number() OVER (PARTITION BY ticker, filing_type ORDER BY filed DESC, accession_number DESC) = 1) SELECT DISTINCT accession_number FROM chunks WHERE accession_number IS NULL OR accession_number NOT IN (SELECT accession_number FROM n)",
+    "csv_round_trip": "SELECT DISTINCT qa_id, question_id, md5(question) AS question_md5, md5(nullif(answer, '')) AS answer_md5, nullif(ticker, '') AS ticker, category, CASE answerable WHEN true THEN 'true' WHEN false THEN 'false' END AS answerable, nullif(source_doc_ids, '') AS source_doc_ids FROM eval_set",
+    "jsonl_round_trip": "SELECT DISTINCT chunk_id, chunk_index, md5(text) AS text_md5, section_heading, cik, word_count FROM chunks",
+    "log_round_trip": f"WITH {_RESULTS} SELECT run_fingerprint, qa_id, retriever, status, md5(llm_answer) AS answer_md5 FROM r",
+    "category_means": f"WITH {_SCORED}, g AS (SELECT c.category, v.retriever FROM (VALUES (1), (2), (3), (4)) c(category), (VALUES ('bm25'), ('faiss')) v(retriever)) SELECT g.category, g.retriever, count(s.qa_id)::BIGINT AS n, {', '.join(f'round(avg({m}) + 1e-9, 4) AS {m}' for m in _METRICS)} FROM g LEFT JOIN s ON s.category = g.category AND s.retriever = g.retriever GROUP BY g.category, g.retriever",
+    "answerable_means": f"WITH {_SCORED}, g AS (SELECT c.answerable, v.retriever FROM (VALUES (true), (false)) c(answerable), (VALUES ('bm25'), ('faiss')) v(retriever)) SELECT g.answerable, g.retriever, count(s.qa_id)::BIGINT AS n, {', '.join(f'round(avg({m}) + 1e-9, 4) AS {m}' for m in _METRICS)} FROM g LEFT JOIN s ON s.answerable = g.answerable AND s.retriever = g.retriever GROUP BY g.answerable, g.retriever",
 }

@@ -113,7 +113,7 @@ def newest_run(spark: SparkSession, folder: str, name: str = "results") -> str:
 
 def write_csv(df: DataFrame, path: str, columns: list[str], order: list[str], mode: str = "errorifexists") -> None:
     """CSV with a header, columns and rows in the given order over all part files."""
-    df.select(*columns).orderBy(*order).write.csv(path, mode=mode, header=True, escape='"', quoteAll=True)
+    df.select(*columns).orderBy(*order).write.csv(path, mode=mode, header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_jsonl(df: DataFrame, path: str, columns: list[str], order: list[str], mode: str = "errorifexists") -> None:
