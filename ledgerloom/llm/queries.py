@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerloom.llm import encoding, lookalike, mixing, near_duplicates, repeated_lines, responses, splitting, term_frequency, text_quality, truncation
 from ledgerloom.llm.common import table
@@ -41,6 +42,14 @@ def p2_pieces(spark, d):
     return _pieces(spark, d)
 
 
+@query
+def p2_cover(spark, d):
+    """Of each split chunk its words, those of its pieces without their overlaps, and whether pieces keep the limit and follow each other with the overlap."""
+    follow = Window.partitionBy("item_id").orderBy("piece_no")
+    p = _pieces(spark, d).withColumn("overlap", F.lag("end_word").over(follow) - F.col("start_word"))
+    return p.groupBy(F.col("item_id").alias("chunk_id")).agg(F.max("end_word").alias("words"), (F.sum("n_words") - 75 * (F.count(F.lit(1)) - 1)).alias("covered"), ((F.max("n_words") <= 400) & F.every((F.coalesce("overlap", F.lit(75)) == 75) & (F.size(F.filter(F.split("piece_text", r"(?U)\s+"), lambda w: w != "")) == F.col("n_words")))).alias("kept"))
+
+
 def _kinds(spark, d):
     return text_quality.kinds_of_text(table(spark, d, "chunks"), "chunk_id", "text", table(spark, d, "chunk_labels"), keep=("word_count", "section_heading"))
 
@@ -81,6 +90,12 @@ def p5_groups(spark, d):
     return near_duplicates.near_duplicate_groups(table(spark, d, "chunks"), "chunk_id", "text")
 
 
+@query
+def p5_membership(spark, d):
+    """Each chunk that takes part with the least id of its group."""
+    return near_duplicates.near_duplicate_groups(table(spark, d, "chunks"), "chunk_id", "text").select(F.col("item_id").alias("chunk_id"), "group_id").distinct()
+
+
 @query
 def p6_found(spark, d):
     return repeated_lines.frequent_lines(table(spark, d, "chunks"), "chunk_id", "text", "cik", "ticker").select(F.col("item_id").alias("chunk_id"), "line_no").distinct()
