@@ -6,7 +6,7 @@ common prefix are neighbours in that order and candidates: at a prefix of three
 values in regions of up to ``REGION`` classes; in denser ones, which are handed
 on as they stream by, at four. A region that is still dense is cut into blocks
 that are compared block with block, in tasks of their own, as a deeper prefix
-would lose links. Neighbours are compared by vector operations on a sketch of 64
+would lose links. Neighbours are compared by vector operations on a sketch of 128
 bits that the sorted rows carry; the few that are close enough are checked
 exactly on their texts.
 
@@ -28,11 +28,11 @@ from ledgerloom.llm.common import batches_of, map_arrow, record_key
 from ledgerloom.operators.chunking import distinct_rows
 from ledgerloom.session import cut_lineage
 
-TREES, DEPTH, SKETCH_BITS = 18, 4, 64
-#: Hash functions: every tree has values of its own; the sketch takes another bit of the first ones.
-HASHES = TREES * DEPTH
+TREES, DEPTH, SKETCH_BITS = 18, 4, 128
+#: Hash functions: every tree has values of its own; the sketch takes another bit of each.
+HASHES = max(TREES * DEPTH, SKETCH_BITS)
 WORD = "[a-z0-9]+"
-SIGNATURE = "k string, h long, c1 long, c2 long, sketch long, trees array<struct<hi: bigint, lo: int>>"
+SIGNATURE = "k string, h long, c1 long, c2 long, s1 long, s2 long, trees array<struct<hi: bigint, lo: int>>"
 #: Classes of a region that one task compares.
 REGION = 4096
 #: Prefixes that may hold more than about one row in 6,000 are known before rows are moved: at most so many, by a summary of so many counters.
@@ -108,11 +108,11 @@ class Signer:
                 part = low[j : min(j + len(self.held), at[i + 1])]
                 held = np.multiply(part, self.a, out=self.held[: len(part)])
                 np.minimum(v[i], np.add(held, self.b, out=held).min(axis=0), out=v[i])
-        sketch = np.packbits(((v[:, :SKETCH_BITS] >> np.uint32(3)) & np.uint32(1)).astype(np.uint8), axis=1).view(np.int64)[:, 0]
-        value = (v ^ (v >> np.uint32(15))).reshape(len(v), TREES, DEPTH).astype(np.uint64)
+        sketch = np.packbits(((v[:, :SKETCH_BITS] >> np.uint32(3)) & np.uint32(1)).astype(np.uint8), axis=1).view(np.int64)
+        value = (v[:, : TREES * DEPTH] ^ (v[:, : TREES * DEPTH] >> np.uint32(15))).reshape(len(v), TREES, DEPTH).astype(np.uint64)
         low = lambda i, bits: value[:, :, i] & np.uint64((1 << bits) - 1)
         hi = np.arange(TREES, dtype=np.uint64) << np.uint64(59) | low(0, 19) << np.uint64(40) | low(1, 20) << np.uint64(20) | low(2, 20)
-        return c1, c2, hi.view(np.int64), low(3, 16).astype(np.int32), sketch
+        return c1, c2, hi.view(np.int64), low(3, 16).astype(np.int32), sketch[:, 0], sketch[:, 1]
 
 
 def similarity(a: str, b: str, run: int) -> float:
@@ -128,17 +128,17 @@ def similarity(a: str, b: str, run: int) -> float:
     return both / (len(x) + len(y) - both) if x or y else 0.0
 
 
-def close_neighbours(group: np.ndarray, ids: np.ndarray, sketch: np.ndarray, differ: int) -> np.ndarray:
+def close_neighbours(group: np.ndarray, ids: np.ndarray, s1: np.ndarray, s2: np.ndarray, differ: int) -> np.ndarray:
     """Places (i < j) of rows of the same group whose sketches differ in at most ``differ`` bits; rows are sorted by group."""
     n, pairs, step = len(group), [], 0
     at = np.arange(n - 1) if n > 1 else np.empty(0, np.int64)
     # unsigned: of a negative number the bits of its magnitude would be counted
-    s = sketch.astype(np.int64).view(np.uint64)
+    s1, s2 = s1.astype(np.int64).view(np.uint64), s2.astype(np.int64).view(np.uint64)
     while len(at):
         step += 1
         at = at[at + step < n]
         at = at[group[at] == group[at + step]]
-        near = at[np.bitwise_count(s[at] ^ s[at + step]) <= differ]
+        near = at[np.bitwise_count(s1[at] ^ s1[at + step]) + np.bitwise_count(s2[at] ^ s2[at + step]) <= differ]
         near = near[ids[near] != ids[near + step]]
         if len(near):
             pairs.append(np.stack([near, near + step], axis=1))
@@ -162,10 +162,10 @@ def signatures(df: DataFrame, id_col: str, text_col: str, run: int, min_words: i
                 some, x, at = signer.runs(np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], ends[1:] - ends[0])
                 if not len(some):
                     continue
-                c1, c2, hi, lo, sketch = signer.sign(x, at)
+                c1, c2, hi, lo, s1, s2 = signer.sign(x, at)
                 place = pa.StructArray.from_arrays([pa.array(hi.ravel()), pa.array(lo.ravel())], ["hi", "lo"])
                 trees = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * TREES), place)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), batch.column(1).take(pa.array(some)), pa.array(c1), pa.array(c2), pa.array(sketch), trees], ["k", "h", "c1", "c2", "sketch", "trees"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), batch.column(1).take(pa.array(some)), pa.array(c1), pa.array(c2), pa.array(s1), pa.array(s2), trees], ["k", "h", "c1", "c2", "s1", "s2", "trees"])
 
     return cut_lineage(map_arrow(texts, sign, SIGNATURE))
 
@@ -180,9 +180,9 @@ def candidates(signed: DataFrame, threshold: float, region: int = REGION) -> Dat
     differ = _allowed_bits(threshold)
     # of the classes with several records one row is taken; the others, mostly all, stay where they are
     several = signed.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("c1", "c2")
-    alone = signed.join(several, ["c1", "c2"], "left_anti").select("c1", "sketch", "trees")
-    one = alone.unionByName(signed.join(several, ["c1", "c2"], "left_semi").groupBy("c1", "c2").agg(F.first("sketch").alias("sketch"), F.first("trees").alias("trees")).select("c1", "sketch", "trees"))
-    trees = one.select(F.col("c1").alias("id"), F.col("sketch").alias("s"), F.inline("trees"))
+    alone = signed.join(several, ["c1", "c2"], "left_anti").select("c1", "s1", "s2", "trees")
+    one = alone.unionByName(signed.join(several, ["c1", "c2"], "left_semi").groupBy("c1", "c2").agg(F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("trees").alias("trees")).select("c1", "s1", "s2", "trees"))
+    trees = one.select(F.col("c1").alias("id"), "s1", "s2", F.inline("trees"))
     # prefixes so frequent that their region would be a great part of all rows go to the dense ones at once
     top = signed.select(F.explode("trees.hi").alias("hi")).agg(F.expr(f"approx_top_k(hi, {HOT_PREFIXES}, {HOT_COUNTERS})").alias("x")).first().x
     hot = [r["item"] for r in top or [] if r["count"] > region]
@@ -191,8 +191,8 @@ def candidates(signed: DataFrame, threshold: float, region: int = REGION) -> Dat
     def compare(batches):
         """Pairs of each region (rows by ascending hi); the rows of a region above the limit are handed on."""
 
-        def out(a, b, hi, lo, s):
-            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "hi": pa.array(hi, pa.int64()), "lo": pa.array(lo, pa.int32()), "s": pa.array(s, pa.int64())})
+        def out(a, b, hi, lo, s1, s2):
+            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "hi": pa.array(hi, pa.int64()), "lo": pa.array(lo, pa.int32()), "s1": pa.array(s1, pa.int64()), "s2": pa.array(s2, pa.int64())})
 
         def judged(rows):
             hi = rows["hi"]
@@ -200,13 +200,13 @@ def candidates(signed: DataFrame, threshold: float, region: int = REGION) -> Dat
             dense = np.repeat(np.diff(np.append(starts, len(hi))) > region, np.diff(np.append(starts, len(hi))))
             if dense.any():
                 on = {c: v[dense] for c, v in rows.items()}
-                yield out(on["id"], [None] * len(on["id"]), on["hi"], on["lo"], on["s"])
+                yield out(on["id"], [None] * len(on["id"]), on["hi"], on["lo"], on["s1"], on["s2"])
                 rows = {c: v[~dense] for c, v in rows.items()}
-            p = close_neighbours(rows["hi"], rows["id"], rows["s"], differ)
+            p = close_neighbours(rows["hi"], rows["id"], rows["s1"], rows["s2"], differ)
             if len(p):
                 x, y = rows["id"][p[:, 0]], rows["id"][p[:, 1]]
                 none = [None] * len(p)
-                yield out(np.minimum(x, y), np.maximum(x, y), none, none, none)
+                yield out(np.minimum(x, y), np.maximum(x, y), none, none, none, none)
 
         held, passing = None, None
         for batch in batches:
@@ -215,7 +215,7 @@ def candidates(signed: DataFrame, threshold: float, region: int = REGION) -> Dat
                 # the rest of a region that is handed on
                 same = int(np.searchsorted(rows["hi"], passing, "right"))
                 if same:
-                    yield out(rows["id"][:same], [None] * same, rows["hi"][:same], rows["lo"][:same], rows["s"][:same])
+                    yield out(rows["id"][:same], [None] * same, rows["hi"][:same], rows["lo"][:same], rows["s1"][:same], rows["s2"][:same])
                     rows = {c: v[same:] for c, v in rows.items()}
                 if not len(rows["hi"]):
                     continue
@@ -235,12 +235,12 @@ def candidates(signed: DataFrame, threshold: float, region: int = REGION) -> Dat
         if held is not None:
             yield from judged(held)
 
-    ordered = trees.where(~is_hot).select("hi", "lo", "id", "s").repartition("hi").sortWithinPartitions("hi")
-    first = cut_lineage(map_arrow(ordered, compare, "a long, b long, hi long, lo int, s long"))
+    ordered = trees.where(~is_hot).select("hi", "lo", "id", "s1", "s2").repartition("hi").sortWithinPartitions("hi")
+    first = cut_lineage(map_arrow(ordered, compare, "a long, b long, hi long, lo int, s1 long, s2 long"))
     pairs = first.where("b IS NOT NULL").select("a", "b")
-    dense = first.where("b IS NULL").select("hi", "lo", F.col("a").alias("id"), "s")
+    dense = first.where("b IS NULL").select("hi", "lo", F.col("a").alias("id"), "s1", "s2")
     if hot:
-        dense = dense.unionByName(trees.where(is_hot).select("hi", "lo", "id", "s"))
+        dense = dense.unionByName(trees.where(is_hot).select("hi", "lo", "id", "s1", "s2"))
     if hot or not dense.isEmpty():
         pairs = pairs.unionByName(_dense_pairs(cut_lineage(dense), differ, region))
     return pairs.distinct()
@@ -250,12 +250,12 @@ def _dense_pairs(dense: DataFrame, differ: int, region: int) -> DataFrame:
     """Close pairs of classes with four common values; more than ``region`` of them are cut into blocks, and each two blocks compared in a group of their own."""
     sizes = dense.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hi", "lo", F.ceil(F.col("n") / region).cast("int").alias("blocks"))
     placed = dense.join(sizes, ["hi", "lo"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    sent = placed.select("hi", "lo", "id", "s", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tiles = sent.select(F.xxhash64("hi", "lo", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "id", "s", "own", (F.col("own") == F.col("other")).alias("inner"))
+    sent = placed.select("hi", "lo", "id", "s1", "s2", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    tiles = sent.select(F.xxhash64("hi", "lo", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "id", "s1", "s2", "own", (F.col("own") == F.col("other")).alias("inner"))
 
     def compare(batches):
         def pairs_of(rows):
-            p = close_neighbours(rows["g"], rows["id"], rows["s"], differ)
+            p = close_neighbours(rows["g"], rows["id"], rows["s1"], rows["s2"], differ)
             # pairs of one block are those of its own group
             p = p[(rows["own"][p[:, 0]] != rows["own"][p[:, 1]]) | rows["inner"][p[:, 0]]]
             x, y = rows["id"][p[:, 0]], rows["id"][p[:, 1]]
