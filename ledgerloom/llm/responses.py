@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -83,27 +84,45 @@ WORDING = 3
 _ANY_WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 
 
+def _runs(text: str) -> set[str]:
+    words = _ANY_WORD.findall(_SOURCES.sub("", text).lower())
+    return {" ".join(words[i : i + WORDING]) for i in range(len(words) - WORDING + 1)}
+
+
+def _counted_runs(texts: DataFrame, only: frozenset[str] | None = None, entries: int = 300_000) -> DataFrame:
+    """run, n of the runs of words, or of those in ``only``: how many texts hold each; a null run counts the texts."""
+
+    def count(batches):
+        held, texts = Counter(), 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                texts += 1
+                runs = _runs(text)
+                held.update(runs if only is None else runs & only)
+                if len(held) >= entries:
+                    yield pa.RecordBatch.from_pydict({"run": pa.array(list(held), pa.string()), "n": pa.array(list(held.values()), pa.int64())})
+                    held.clear()
+        yield pa.RecordBatch.from_pydict({"run": pa.array([*held, None], pa.string()), "n": pa.array([*held.values(), texts], pa.int64())})
+
+    return map_arrow(texts, count, "run string, n long").groupBy("run").agg(F.sum("n").alias("n"))
+
+
 def refusal_wordings(rows: DataFrame, answer: str, answerable: str) -> list[str]:
     """Runs of three words that stand in responses to questions that can't be answered, and much oftener there than in others.
 
     At most as many as ``1 / WORDING_SHARE`` mean responses hold: the runs of the
     first are counted, and only those frequent there in the others.
     """
-    core = F.regexp_replace(F.lower(answer), r"(?s)\bsources?\s*:.*$", "")
-    words = F.regexp_extract_all(core, F.lit(r"(?U)[^\W_]+(?:['’-][^\W_]+)*"), F.lit(0))
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - WORDING + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, WORDING), " ")))
-    held = rows.where(F.col(answerable).isNotNull() & F.col(answer).isNotNull()).select(F.col(answerable).alias("ok"), words.alias("w")).where(F.size("w") >= WORDING).select("ok", runs.alias("runs"))
-    totals = {r.ok: r.n for r in held.groupBy("ok").agg(F.count(F.lit(1)).alias("n")).collect()}
-    without, given = totals.get(False, 0), totals.get(True, 0)
-    if not without or not given:
-        return []
+    said = rows.where(F.col(answerable).isNotNull() & F.col(answer).isNotNull())
+    there = cut_lineage(_counted_runs(said.where(~F.col(answerable)).select(answer)))
+    without = there.where("run IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     least = max(WORDING_LEAST, WORDING_SHARE * without)
-    count = lambda df: df.select(F.explode("runs").alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("n"))
-    often = count(held.where("NOT ok")).where(F.col("n") >= least)
-    # few runs are frequent there: they cut the others down before these are counted
-    there = held.where("ok").select(F.explode("runs").alias("run")).join(often.select("run"), "run", "left_semi").groupBy("run").agg(F.count(F.lit(1)).alias("m"))
-    both = often.join(there, "run", "left").where((F.col("n") / without) >= WORDING_RATIO * (F.coalesce("m", F.lit(0)) + 1) / (given + 1))
-    return [r.run for r in both.select("run").collect()]
+    often = {r.run: r.n for r in there.where(F.col("run").isNotNull() & (F.col("n") >= least)).collect()}
+    if not often:
+        return []
+    elsewhere = {r.run: r.n for r in _counted_runs(said.where(F.col(answerable)).select(answer), frozenset(often)).collect()}
+    given = elsewhere.get(None, 0)
+    return [run for run, n in sorted(often.items()) if given and n / without >= WORDING_RATIO * (elsewhere.get(run, 0) + 1) / (given + 1)]
 
 
 def declines(core: str, wordings: frozenset[str]) -> bool:
