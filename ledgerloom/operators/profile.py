@@ -96,7 +96,7 @@ def box_stats(long: DataFrame, by: list[str], value: str) -> DataFrame:
     q = long.where(F.col(value).isNotNull()).groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count(F.lit(1)).alias("n"))
     reach = 1.5 * (F.col("q")[2] - F.col("q")[0])
     q = q.withColumn("lo", F.col("q")[0] - reach).withColumn("hi", F.col("q")[2] + reach)
-    inside = long.where(F.col(value).isNotNull()).join(F.broadcast(q), by).where(F.col(value).between(F.col("lo"), F.col("hi")))
+    inside = long.where(F.col(value).isNotNull()).join(q, by).where(F.col(value).between(F.col("lo"), F.col("hi")))
     r = lambda c: F.round(c, 6)
     return inside.groupBy(*by, "n", "q").agg(r(F.min(value)).alias("whisker_low"), r(F.max(value)).alias("whisker_high")).select(*by, "n", r(F.col("q")[0]).alias("p25"), r(F.col("q")[1]).alias("median"), r(F.col("q")[2]).alias("p75"), "whisker_low", "whisker_high")
 

@@ -11,7 +11,7 @@ class Files:
     """Hadoop paths through the session; a path without a scheme is on the session's default file system, as it is for reads and writes of tables."""
 
     def __init__(self, spark: SparkSession):
-        self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        self._jvm, self._conf, self._gateway = spark._jvm, spark._jsc.hadoopConfiguration(), spark.sparkContext._gateway
 
     def _at(self, path: str):
         p = self._jvm.org.apache.hadoop.fs.Path(path)
@@ -50,9 +50,10 @@ class Files:
             stream.hsync()
         finally:
             stream.close()
-        if fs.exists(p):
-            fs.delete(p, True)
-        self._move(fs, other, p)
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self._conf)
+        replace = self._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        replace[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context.rename(fs.makeQualified(other), fs.makeQualified(p), replace)
 
     def move(self, source: str, target: str) -> None:
         fs, p = self._at(source)
