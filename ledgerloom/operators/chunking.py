@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.functions.text import chunk_id, squeeze, strip, words
+from ledgerloom.session import cut_lineage
 
 
 def check_window(size: int, overlap: int) -> None:
@@ -59,22 +60,31 @@ def chunk_texts(df: DataFrame, text_col: str, size: int = 400, overlap: int = 75
     return out
 
 
-def _once_and_again(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(rows whose key stands once, rows whose key stands several times): only the second need to meet, so long values of the others aren't moved."""
-    again = df.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__key")
-    same = F.col(key).eqNullSafe(F.col("__key"))
-    return df.join(again, same, "left_anti"), df.join(again, same, "left_semi")
+#: Hashes of repeated keys that may be broadcast (8 bytes each).
+BROADCAST_KEYS = 2_000_000
 
 
 def unique_rows(df: DataFrame, key: str) -> DataFrame:
-    """One row per key, the least of its rows, and a null key once. Select the columns that are needed first: others are neither read nor compared then."""
+    """One row per key, the least of its rows, and a null key once. Select the columns that are needed first: others are neither read nor compared then.
+
+    Only rows whose key stands several times need to meet, so that long values of the others aren't moved.
+    """
     rest = [c for c in df.columns if c != key]
-    once, again = _once_and_again(df, key)
-    least = again.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*[F.asc_nulls_last(c) for c in rest]))).where("__n = 1").drop("__n")
-    return once.unionByName(least)
+    again = df.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__key")
+    same = F.col(key).eqNullSafe(F.col("__key"))
+    several = df.join(again, same, "left_semi")
+    least = several.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*[F.asc_nulls_last(c) for c in rest]))).where("__n = 1").drop("__n")
+    return df.join(again, same, "left_anti").unionByName(least)
 
 
 def distinct_rows(df: DataFrame, key: str) -> DataFrame:
-    """The distinct rows, of which equal ones share ``key``."""
-    once, again = _once_and_again(df, key)
-    return once.unionByName(again.distinct())
+    """The distinct rows, of which equal ones share ``key``.
+
+    As in ``unique_rows``, only rows of repeated keys meet; their keys are found
+    first, as hashes, and broadcast if they are no more than ``BROADCAST_KEYS``.
+    """
+    hashed = F.xxhash64(key)
+    again = cut_lineage(df.groupBy(hashed.alias("__h")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__h"))
+    side = F.broadcast(again) if again.count() <= BROADCAST_KEYS else again
+    # keys of one hash that differ go the longer way as well
+    return df.join(side, hashed == F.col("__h"), "left_anti").unionByName(df.join(side, hashed == F.col("__h"), "left_semi").distinct())
