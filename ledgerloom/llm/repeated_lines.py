@@ -44,8 +44,10 @@ def company_of(df: DataFrame, cik_col: str, ticker_col: str) -> DataFrame:
 
 def _line_arrays(df: DataFrame, id_col: str, text_col: str, cik_col: str, ticker_col: str) -> DataFrame:
     """k, item, source and the non-blank lines (line_no, a, b) of each record, kept: what all steps read."""
-    numbered = F.transform(F.split(F.col(text_col).cast("string"), "\n"), lambda line, i: F.struct(i.cast("long").alias("line_no"), F.when(line.rlike(r"(?U)\S"), F.xxhash64(F.lit(1), same_line(line))).alias("a"), F.xxhash64(F.lit(2), same_line(line)).alias("b")))
-    read = df.where(F.col(text_col).isNotNull()).select(record_key(id_col, text_col).alias("k"), F.col(id_col).cast("string").alias("item"), F.md5(F.col(text_col).cast("string")).alias("digest"), F.col(cik_col).alias("cik"), F.col(ticker_col).alias("ticker"), F.filter(numbered, lambda x: x["a"].isNotNull()).alias("lines"))
+    # each line is brought to its form once
+    same = F.transform(F.split(F.col(text_col).cast("string"), "\n"), lambda line, i: F.struct(i.cast("long").alias("line_no"), same_line(line).alias("s")))
+    lines = F.transform(F.filter(same, lambda x: x["s"].rlike(r"(?U)\S")), lambda x: F.struct(x["line_no"].alias("line_no"), F.xxhash64(F.lit(1), x["s"]).alias("a"), F.xxhash64(F.lit(2), x["s"]).alias("b")))
+    read = df.where(F.col(text_col).isNotNull()).select(record_key(id_col, text_col).alias("k"), F.col(id_col).cast("string").alias("item"), F.hex(F.xxhash64(F.col(text_col).cast("string"))).alias("digest"), F.col(cik_col).alias("cik"), F.col(ticker_col).alias("ticker"), lines.alias("lines"))
     # repeated rows count once; two texts of one id are two records
     read = cut_lineage(read.where(F.size("lines") > 0))
     records = company_of(read.withColumn("k", F.concat_ws("\u0002", "k", "digest")), "cik", "ticker").where("source IS NOT NULL").select("k", "item", "source", "lines")
@@ -141,7 +143,7 @@ def remove_repeated_lines(df: DataFrame, id_col: str, text_col: str, cik_col: st
     found, _ = _occurrences(_line_arrays(df, id_col, text_col, cik_col, ticker_col), min_records)
     drop = found.groupBy("k").agg(F.collect_set("line_no").alias("drop"))
     text = F.col(text_col).cast("string")
-    texts = df.select(F.concat_ws("\u0002", record_key(id_col, text_col), F.md5(text)).alias("k"), F.col(id_col).cast("string").alias("item_id"), text.alias("t"))
+    texts = df.select(F.concat_ws("\u0002", record_key(id_col, text_col), F.hex(F.xxhash64(text))).alias("k"), F.col(id_col).cast("string").alias("item_id"), text.alias("t"))
     # only records with a line to delete meet the deletions
     hit = distinct_rows(texts.join(drop.select("k"), "k", "left_semi"), "k").join(drop, "k")
     kept = F.array_join(F.filter(F.split("t", "\n"), lambda _, i: ~F.array_contains("drop", i.cast("long"))), "\n")
