@@ -13,14 +13,14 @@ from pyspark.sql.window import Window
 
 from ledgerloom.functions.text import lexical_tokens
 from ledgerloom.operators.selection import top_rows
-from ledgerloom.operators.topk import Best, in_order
+from ledgerloom.operators.topk import Best
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 TOKENIZER = "lower-whitespace-v1"
 #: Questions scored by one multiplication, distinct terms of them, and weights broadcast for one pass over the corpus: about 40 MB.
 BLOCK_QUESTIONS, BLOCK_TERMS, PASS_WEIGHTS = 256, 4096, 400_000
-#: Records of a batch that are scored together.
-BATCH = 512
+#: Records of one part that are scored together.
+BATCH = 1024
 
 
 def records_of(chunks: DataFrame, part: str, key: str, text: str, group: str | None = None) -> DataFrame:
@@ -149,19 +149,21 @@ def _score(records: DataFrame, blocks: list[tuple], k: int, per_group: bool, sch
             first.append(len(names))
             names += b[2]
         best = Best(k, per_group)
-        for large in batches:
-            for at in range(0, large.num_rows, BATCH):
-                batch = in_order(large.slice(at, BATCH), "key")
-                parts = np.array(batch.column(0).to_pylist(), dtype=object)
-                for part in dict.fromkeys(parts):
-                    numbers = by_part.get(part)
-                    if not numbers:
-                        continue
-                    rows = np.flatnonzero(parts == part)
-                    some = batch.take(pa.array(rows))
+        for batch in batches:
+            parts = np.array(batch.column(0).to_pylist(), dtype=object)
+            order = pc.sort_indices(batch.column(1)).to_numpy()
+            for part in dict.fromkeys(parts):
+                numbers = by_part.get(part)
+                if not numbers:
+                    continue
+                # rows by ascending key, so that of equal scores the first is the one to take
+                own = order[parts[order] == part]
+                for at in range(0, len(own), BATCH):
+                    some = batch.take(pa.array(own[at : at + BATCH]))
+                    n_rows = some.num_rows
                     keys, groups, dl = np.array(some.column(1).to_pylist(), dtype=object), np.array(some.column(2).to_pylist(), dtype=object), some.column(3).to_numpy()
                     words = some.column(4)
-                    row = np.repeat(np.arange(len(rows)), np.diff(words.offsets.to_numpy()))
+                    row = np.repeat(np.arange(n_rows), np.diff(words.offsets.to_numpy()))
                     flat = words.flatten()
                     for n in numbers:
                         _, mean, queries, allowed, terms, weights = blocks[n]
@@ -169,10 +171,10 @@ def _score(records: DataFrame, blocks: list[tuple], k: int, per_group: bool, sch
                             code = pc.index_in(flat, value_set=terms)
                             hit = np.flatnonzero(code.is_valid().to_numpy(zero_copy_only=False))
                             cell = row[hit] * len(terms) + code.take(pa.array(hit)).to_numpy().astype(np.int64)
-                            tf = np.bincount(cell, minlength=len(rows) * len(terms)).reshape(len(rows), len(terms)).astype(np.float64)
+                            tf = np.bincount(cell, minlength=n_rows * len(terms)).reshape(n_rows, len(terms)).astype(np.float64)
                             scores = np.round((tf / (tf + (K1 * (1 - B + B * dl / mean))[:, None])) @ weights, 6) + 0.0
                         else:
-                            scores = np.zeros((len(rows), len(queries)))
+                            scores = np.zeros((n_rows, len(queries)))
                         best.add(scores, first[n] + np.arange(len(queries)), keys, groups if limited or per_group else None, allowed if limited else None)
         kept = best.kept()
         if len(kept):

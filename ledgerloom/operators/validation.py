@@ -91,6 +91,11 @@ def normalize_tickers(tickers: list[str]) -> list[str]:
     return found
 
 
+def dataset_name(tickers: list[str]) -> str:
+    """The name of a dataset of these tickers: lower case, in their order, joined by underscores."""
+    return "_".join(t.lower() for t in normalize_tickers(tickers))
+
+
 def top_k_setting(argument: int | str | None, environment: str | None, default: int = 5) -> int:
     """The argument, else the environment, else the default; an integer of at least 1."""
     value = argument if argument is not None else environment if environment not in (None, "") else default

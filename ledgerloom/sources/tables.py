@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ledgerloom.functions.text import is_missing
 from ledgerloom.sources.files import Files
@@ -128,8 +127,3 @@ def write_partitioned(df: DataFrame, path: str, key: str, mode: str = "errorifex
 
 def append_checkpoint(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path, ignoreNullFields=False)
-
-
-def numbered(df: DataFrame, part: list[str], order: list[str]) -> DataFrame:
-    """``df`` with ``row_no`` from 0 within each part."""
-    return df.withColumn("row_no", F.row_number().over(Window.partitionBy(*part).orderBy(*order)) - 1)

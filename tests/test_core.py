@@ -221,7 +221,7 @@ def test_reports(spark):
 
 
 def test_settings():
-    assert validation.normalize_tickers([" aa ", "b.b"]) == ["AA", "B.B"]
+    assert validation.normalize_tickers([" aa ", "b.b"]) == ["AA", "B.B"] and validation.dataset_name([" AA ", "b.b"]) == "aa_b.b"
     for bad in ([], ["a b"], ["a", "A"]):
         with pytest.raises(ValueError):
             validation.normalize_tickers(bad)

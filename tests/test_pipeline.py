@@ -55,6 +55,12 @@ def test_build_describe_evaluate_score(spark, tmp_path):
     assert row.word_overlap_f1 == 0.5 and row.document_recall_at_k == 1.0 and row.cosine_sim <= 1.0 and row.llm_score == 4.0
     scored = {(r.qa_id, r.retriever): r for r in spark.read.parquet(str(tmp_path / "scored")).collect()}
     assert scored["q1", "bm25"].llm_judge_error is None and scored["q2", "bm25"].llm_score is None and "Score: 5" in scored["q2", "bm25"].llm_judge_error
+    made = pipeline.figures(questions, spark.read.parquet(f"{out}/cleaning_manifest.parquet"), spark.read.parquet(str(tmp_path / "scored")))
+    (tmp_path / "figures" / "old.csv").mkdir(parents=True)
+    said = pipeline.write_figures(spark, made | {"none": lambda: questions.limit(0), "broken": lambda: questions.select("nothing")}, str(tmp_path / "figures"))
+    assert said.pop("none") == "empty" and "nothing" in said.pop("broken") and set(said.values()) == {"written"} and not (tmp_path / "figures" / "old.csv").exists()
+    means = spark.read.option("header", True).csv(str(tmp_path / "figures" / "category_means.csv"))
+    assert means.count() == 8 and means.where("n = 0").count() == 4
     with pytest.raises(FileExistsError):
         pipeline.score(results, str(tmp_path / "scored"))
     assert pipeline.score(results, str(tmp_path / "scored"), retrievers=["bm25"], overwrite=True).where("grouping = 'retriever'").count() == 1
