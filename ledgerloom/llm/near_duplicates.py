@@ -37,7 +37,7 @@ SIGNATURE = "k string, h long, c1 long, c2 long, s1 long, s2 long, trees array<s
 REGION = 4096
 #: Prefixes that may hold more than about one row in 6,000 are known before rows are moved: at most so many, by a summary of so many counters.
 HOT_PREFIXES, HOT_COUNTERS = 2000, 8192
-#: Ids of texts to read that may be broadcast (8 bytes each); beyond, texts are joined by their ids.
+#: Ids of texts to read that may be broadcast (8 bytes each), and half as many classes of copies (16 bytes each); beyond, rows meet by a shuffle.
 BROADCAST_IDS = 4_000_000
 #: Copies of a class that one task joins with the others.
 COPIES = 512
@@ -180,6 +180,9 @@ def candidates(signed: DataFrame, threshold: float, region: int = REGION) -> Dat
     differ = _allowed_bits(threshold)
     # of the classes with several records one row is taken; the others, mostly all, stay where they are
     several = signed.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("c1", "c2")
+    several = cut_lineage(several)
+    if several.count() <= BROADCAST_IDS // 2:
+        several = F.broadcast(several)
     alone = signed.join(several, ["c1", "c2"], "left_anti").select("c1", "s1", "s2", "trees")
     one = alone.unionByName(signed.join(several, ["c1", "c2"], "left_semi").groupBy("c1", "c2").agg(F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("trees").alias("trees")).select("c1", "s1", "s2", "trees"))
     trees = one.select(F.col("c1").alias("id"), "s1", "s2", F.inline("trees"))
