@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from ledgerloom.functions.text import lexical_tokens
 from ledgerloom.operators.selection import top_rows
 from ledgerloom.operators.topk import Best
+from ledgerloom.session import cut_lineage
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 TOKENIZER = "lower-whitespace-v1"
@@ -30,15 +31,43 @@ def records_of(chunks: DataFrame, part: str, key: str, text: str, group: str | N
     return chunks.select(F.col(part).alias("part"), F.col(key).alias("key"), grp.alias("grp"), words.alias("words")).withColumn("dl", F.size("words"))
 
 
+def _counts(records: DataFrame) -> DataFrame:
+    """part, term, df, words: how many records hold each term; a null term counts the records of a part and their words. Summed in each batch of records before anything is moved."""
+    wanted = f"part {dict(records.dtypes)['part']}, term string, df long, words long"
+
+    def count(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = batch.column(0).dictionary_encode()
+            of = pc.fill_null(part.indices, len(part.dictionary)).to_numpy().astype(np.int64)
+            names = pa.concat_arrays([part.dictionary, pa.nulls(1, part.dictionary.type)])
+            words = batch.column(1)
+            sizes = np.diff(words.offsets.to_numpy())
+            coded = words.flatten().dictionary_encode()
+            n = len(coded.dictionary)
+            here = np.unique(of)
+            rows = [(pa.array(here), pa.nulls(len(here), pa.string()), np.bincount(of)[here], np.bincount(of, sizes)[here])]
+            if n:
+                # each term of a record once, then records by part and term
+                once = np.unique(np.repeat(np.arange(batch.num_rows), sizes) * n + coded.indices.to_numpy())
+                cell, df = np.unique(of[once // n] * n + once % n, return_counts=True)
+                rows.append((pa.array(cell // n), coded.dictionary.take(pa.array(cell % n)), df, np.zeros(len(df))))
+            for owner, term, df, total in rows:
+                yield pa.RecordBatch.from_arrays([names.take(owner), term, pa.array(df.astype(np.int64)), pa.array(total.astype(np.int64))], ["part", "term", "df", "words"])
+
+    return records.select("part", "words").mapInArrow(count, wanted).groupBy("part", "term").agg(F.sum("df").alias("df"), F.sum("words").alias("words"))
+
+
 def terms_of(records: DataFrame) -> DataFrame:
     """part, term, df, n, avgdl, idf.
 
     The idf of terms in more than half of the records, below nought, is a
-    quarter of the mean of all.
+    quarter of the mean of all. The records are read once.
     """
-    totals = records.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df = records.select("part", F.explode(F.array_distinct("words")).alias("term")).groupBy("part", "term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.join(totals, "part").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    counts = cut_lineage(_counts(records))
+    totals = counts.where("term IS NULL").select("part", F.col("df").alias("n"), (F.col("words") / F.col("df")).alias("avgdl"))
+    raw = counts.where("term IS NOT NULL").select("part", "term", "df").join(totals, "part").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = raw.groupBy("part").agg((EPSILON * F.avg("raw")).alias("floor"))
     return raw.join(floor, "part").select("part", "term", "df", "n", "avgdl", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
 
