@@ -13,7 +13,7 @@ from ledgerloom.plans import inputs
 from ledgerloom.plans.oracle import ORACLE as _SQL
 from ledgerloom.session import ensure_checkpoint_dir
 from ledgerloom.sources import tables
-from ledgerloom.sources.tables import read_parquet
+from ledgerloom.sources.tables import read_parquet, spread
 
 QUERIES, COUNTS, K = {}, {"10-K": 1, "10-Q": 1, "8-K": 1}, 5
 
@@ -29,7 +29,7 @@ def query(f):
 @query
 def chunk_documents(spark, d):
     """Windows of 400 words, 75 of them shared, of all documents."""
-    docs = read_parquet(spark, d, "documents").select("doc_id", "text")
+    docs = spread(read_parquet(spark, d, "documents").select("doc_id", "text"))
     cut = docs.select("doc_id", F.posexplode(chunking.windows(T.words(F.col("text")), 400, 75)).alias("chunk_index", "w"))
     return cut.select("doc_id", "chunk_index", F.col("w.start").alias("start_word"), F.col("w.n").alias("word_count"), F.md5("w.text").alias("text_md5"))
 
@@ -482,7 +482,7 @@ def sequence_fingerprints(spark, d):
 
 
 def _texts(spark, d):
-    return read_parquet(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return spread(read_parquet(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
 
 
 @query
@@ -502,7 +502,7 @@ def item_headings(spark, d):
 @query
 def clean_documents(spark, d):
     """Every document cleaned as HTML, cut into sections and windows."""
-    docs = read_parquet(spark, d, "documents").select("doc_id", "text", F.lit("html").alias("fmt"))
+    docs = spread(read_parquet(spark, d, "documents").select("doc_id", "text", F.lit("html").alias("fmt")))
     cleaned = cleaning.clean_documents(docs, "text", "fmt")
     return cleaned.select("doc_id", F.md5("cleaned_text").alias("cleaned_md5"), "raw_length", "cleaned_length", F.array_join("warnings", ",").alias("warnings"))
 

@@ -9,7 +9,7 @@ from ledgerloom.functions.text import norm_ticker, parse_date
 from ledgerloom.operators.chunking import unique_rows
 from ledgerloom.operators.scoring import score_results
 from ledgerloom.operators.selection import first_of, last_written
-from ledgerloom.sources.tables import read_parquet
+from ledgerloom.sources.tables import read_parquet, spread
 
 CUTOFF = "2026-07-14"
 
@@ -17,6 +17,8 @@ CUTOFF = "2026-07-14"
 def chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """One row per chunk with ``columns``, or all; tickers in upper case."""
     read = read_parquet(spark, d, "chunks")
+    if not columns or "text" in columns:
+        read = spread(read)
     some = unique_rows(read.select("chunk_id", *[c for c in columns if c != "chunk_id"]) if columns else read, "chunk_id")
     return some.withColumn("ticker", norm_ticker(F.col("ticker"))) if "ticker" in some.columns else some
 

@@ -24,6 +24,16 @@ def read_parquet(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Partitions of a table that may be spread: with files of usual size, up to about a gigabyte.
+FEW_PARTITIONS = 8
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table as read, over all cores where its files make few partitions and fewer than half as many: a file of one row group is read by one task, which would do all work on its texts alone."""
+    cores, parts = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df.repartition(cores) if parts <= min(FEW_PARTITIONS, cores // 2) else df
+
+
 def read_csv(spark: SparkSession, path: str, schema: str, encoding: str = "utf-8") -> DataFrame:
     """A CSV with a header; values may hold line breaks and doubled quotes, types come from the schema alone."""
     return spark.read.csv(path, schema=schema, header=True, multiLine=True, escape='"', quote='"', encoding=encoding, enforceSchema=False)
