@@ -8,12 +8,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.tables import read_parquet, spread
+
 #: Rows in an Arrow batch of texts; keeps a batch of long texts small beside an executor's memory.
 TEXT_BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(read_parquet(spark, sf_dir, name))
 
 
 def record_key(id_col: str, *value_cols: str) -> Column:
