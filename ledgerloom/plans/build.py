@@ -41,7 +41,10 @@ def build_dataset(spark: SparkSession, filings: DataFrame, raw: DataFrame, out:
         missed = validation.filing_policy(latest, ["ticker"], counts, cutoff, F.col("filed")).where("NOT policy_met").orderBy("ticker").limit(50).collect()
         if missed:
             raise ValueError(f"filings do not meet {counts}: {', '.join(str(r.ticker) for r in missed)}")
-    cleaned = cleaning.clean_documents(latest.drop("filed").join(raw.select("local_raw_path", "content"), "local_raw_path"), "content", "raw_format").drop("content")
+    # a filing without contents is an error, not a filing less
+    found = latest.drop("filed").join(raw.select("local_raw_path", "content"), "local_raw_path", "left")
+    held = F.when(F.col("content").isNull(), F.raise_error(F.concat(F.lit("no contents of filing "), F.coalesce("accession_number", F.lit("?"))))).otherwise(F.col("content"))
+    cleaned = cleaning.clean_documents(found.withColumn("content", held), "content", "raw_format").drop("content")
     kept = cleaned.select("company", "ticker", "cik", "filing_type", "filing_date", "accession_number", "source_url", F.col("local_raw_path").alias("source_file"), "cleaned_text")
     chunks = chunking.chunk_texts(kept, "cleaned_text", size, overlap).withColumn("chunk_schema_version", F.lit(VERSION)).select(*CHUNK_COLUMNS)
     stage, files = f"{out.rstrip('/')}.staged", Files(spark)

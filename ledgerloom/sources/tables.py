@@ -10,7 +10,6 @@ from ledgerloom.sources.files import Files
 from ledgerloom.sources.publish import publish
 
 FILING = "company string, ticker string, cik string, filing_type string, filing_date string, accession_number string, source_url string, local_raw_path string, raw_format string, local_markdown_path string, human_readable_format string, human_readable_warning string"
-CLEANED = FILING + ", local_cleaned_path string, raw_length int, cleaned_length int, warnings array<string>"
 CHUNK = "chunk_schema_version int, company string, ticker string, cik string, filing_type string, filing_date string, accession_number string, source_url string, source_file string, chunk_id string, chunk_index int, section_heading string, text string, word_count int"
 QUESTION = "qa_id string, question_id int, question string, answer string, ticker string, category int, answerable string, source_doc_id string, source_doc_ids string"
 RESULT = (

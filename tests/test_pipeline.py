@@ -29,6 +29,9 @@ def test_build_describe_evaluate_score(spark, tmp_path):
     assert tables.read_csv(spark, f"{out}/chunks.csv", tables.CHUNK).count() == tables.read_jsonl(spark, f"{out}/chunks.jsonl", tables.CHUNK).count() == 4
     with pytest.raises(ValueError, match="do not meet"):
         pipeline.build_dataset(spark, filings, raw, out, "2026-07-14", {"10-K": 1, "10-Q": 1}, complete=True)
+    with pytest.raises(Exception, match="no contents of filing 3"):
+        pipeline.build_dataset(spark, filings, raw.where("local_raw_path <> 'b.txt'"), out, "2026-07-14", counts)
+    assert pipeline.is_current(spark, out, "2026-07-14", counts)  # the former dataset stays
     questions = spark.createDataFrame([("q1", 1, "What about cash in the 8-K?", "it met", "aa", 1, "true", "AA_8-K_2025-02-01", None), ("q2", 2, "Compare cash in the 10-K and 8-K", "both", "AA", 2, "yes", "AA_MULTI", None), ("q3", 3, "Open", None, "AA", 2, "yes", "AA_MULTI", None)], tables.QUESTION)
     run, both = str(tmp_path / "run"), ["bm25", "faiss"]
     embed = lambda ts: [[float("cash" in t), float(len(t) % 7), 1.0] for t in ts]
