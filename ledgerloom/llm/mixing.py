@@ -155,7 +155,7 @@ def mixture(df: DataFrame, targets: DataFrame, id_col: str, text_col: str, sourc
     everything = Window.partitionBy(F.lit(1))  # one row a target
     report = goal.join(reached, "source", "left").select(
         "source", "target_share", "max_repeats", "available_tokens", got.alias("tokens"),
-        F.round(got / F.sum(got).over(everything), 6).alias("actual_share"),
+        F.coalesce(F.round(got / F.nullif(F.sum(got).over(everything), F.lit(0)), 6), F.lit(0.0)).alias("actual_share"),
         F.when(F.col("available_tokens") > 0, F.round(got / F.col("available_tokens"), 6)).alias("passes"),
         (got >= F.col("goal") - F.coalesce("largest", F.lit(0))).alias("reached"),
     )

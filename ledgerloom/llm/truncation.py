@@ -245,7 +245,7 @@ def truncation_evidence(df: DataFrame, id_col: str, text_col: str, source_col: s
     are ignored; an empty table gives no rows.
 
     Returns id, source, ending, at_limit int (null: none), posterior double,
-    log_odds double, truncated boolean.
+    log_odds double (null: it ends like no cut text), truncated boolean.
     """
     text = F.col("t")
     blanks = F.lit(BLANKS)
