@@ -34,8 +34,9 @@ def build_dataset(spark: SparkSession, filings: DataFrame, raw: DataFrame, out:
     chunking.check_window(size, overlap)
     validation.require_columns(filings, set(FILING_COLUMNS))
     dated = filings.withColumns({"ticker": T.norm_ticker(F.col("ticker")), "filed": T.parse_date(F.col("filing_date"))})
+    tickers = sorted(validation.normalize_tickers(tickers)) if tickers else []
     if tickers:
-        dated = dated.where(F.col("ticker").isin(validation.normalize_tickers(tickers)))
+        dated = dated.where(F.col("ticker").isin(tickers))
     latest = selection.latest_filings(dated, cutoff, counts).drop("rank")
     if complete:
         missed = validation.filing_policy(latest, ["ticker"], counts, cutoff, F.col("filed")).where("NOT policy_met").orderBy("ticker").limit(50).collect()
@@ -60,7 +61,7 @@ def build_dataset(spark: SparkSession, filings: DataFrame, raw: DataFrame, out:
         summary = dataset_summary(written, cleaning_manifest)
         files.write(f"{stage}/summary.json", publish.canonical_json(summary))
         validate_staged(spark, stage, size, cutoff)
-        settings = {"schema_version": VERSION, "size": size, "overlap": overlap, "cutoff": cutoff, "counts": counts, "tickers": sorted(tickers or []), "chunks": summary["total_chunks"], "sequence": sequence_hash(written)}
+        settings = {"schema_version": VERSION, "size": size, "overlap": overlap, "cutoff": cutoff, "counts": counts, "tickers": tickers, "chunks": summary["total_chunks"], "sequence": sequence_hash(written)}
         manifest = publish.write_manifest(spark, f"{stage}/manifest.json", settings)
         publish.publish(spark, {stage: out})
     except BaseException:
@@ -96,10 +97,10 @@ def validate_staged(spark: SparkSession, stage: str, size: int, cutoff: str) ->
         raise ValueError("the summary does not count the chunks")
 
 
-def is_current(spark: SparkSession, out: str, cutoff: str, counts: dict[str, int], size: int = SIZE, overlap: int = OVERLAP) -> bool:
-    """Whether a dataset there can be used as it is: its manifest is whole and of these settings, its chunks are those it was written with, of one schema version, and filings keep the counts and the cutoff. False if anything can't be read."""
+def is_current(spark: SparkSession, out: str, cutoff: str, counts: dict[str, int], size: int = SIZE, overlap: int = OVERLAP, tickers: list[str] | None = None) -> bool:
+    """Whether a dataset there can be used as it is: its manifest is whole and of these settings and tickers, its chunks are those it was written with, of one schema version, and filings keep the counts and the cutoff. False if anything can't be read."""
     try:
-        said = publish.check_manifest(spark, f"{out}/manifest.json", {"schema_version": VERSION, "size": size, "overlap": overlap, "cutoff": cutoff, "counts": counts})
+        said = publish.check_manifest(spark, f"{out}/manifest.json", {"schema_version": VERSION, "size": size, "overlap": overlap, "cutoff": cutoff, "counts": counts, "tickers": sorted(validation.normalize_tickers(tickers)) if tickers else []})
         chunks = spark.read.parquet(f"{out}/chunks.parquet")
         if chunks.count() != said["chunks"] or sequence_hash(chunks) != said["sequence"]:
             return False

@@ -23,7 +23,7 @@ def test_build_describe_evaluate_score(spark, tmp_path):
     assert "Chunks by ticker" in pipeline.describe(spark, out, report) and pipeline.is_fresh(spark, out, report)
     # the published dataset is used again while it is whole and of these settings
     counts = {"10-K": 1, "8-K": 1}
-    assert pipeline.is_current(spark, out, "2026-07-14", counts) and not pipeline.is_current(spark, out, "2026-07-14", counts, 300) and not pipeline.is_current(spark, out, "2024-07-14", counts)
+    assert pipeline.is_current(spark, out, "2026-07-14", counts) and not pipeline.is_current(spark, out, "2026-07-14", counts, 300) and not pipeline.is_current(spark, out, "2024-07-14", counts) and not pipeline.is_current(spark, out, "2026-07-14", counts, tickers=["aa"])
     (tmp_path / "data" / "stray").write_text("x")
     assert [p for p in pipeline.prune_dataset(spark, out) if not p.endswith(".crc")] == ["stray"] and pipeline.is_current(spark, out, "2026-07-14", counts)
     assert tables.read_csv(spark, f"{out}/chunks.csv", tables.CHUNK).count() == tables.read_jsonl(spark, f"{out}/chunks.jsonl", tables.CHUNK).count() == 4
