@@ -35,8 +35,8 @@ LEAST_POSTERIOR = 0.5
 CUT_MARK = r"(?iu)(?:\s{0,3}(?:\.{3,}|…|\[(?:\.{3}|…|more|truncated|continued)\]|\((?:\.{3}|…|more|truncated|continued)\)|\b(?:read|see|show) more|\bcontinue reading)){1,3}$"
 #: White space and stray halves of characters; taken off with rtrim, as a pattern would try every run of them.
 BLANKS = " \t\n\r\f\v\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u2028\u2029\u202f\u205f\u3000\ufeff\ufffd"
-#: Characters that hold how a text ends.
-TAIL = 80
+#: Characters that hold how a text ends, and any marks behind it but long runs of points.
+TAIL, MARKS = 80, 100
 TERMINAL = r"""(?u)[.!?。！？｡।؟][)\]"'”’»」』]*$"""
 # fixed values: words no sentence of their language ends with
 OPEN_WORDS = (
@@ -171,7 +171,7 @@ def _ending(core: Column, line: Column, before: Column, breaks: Column) -> Colum
         .when(core.rlike(r"(?u)[:;]$"), "colon")
         .when(last_word.isin(open_words) & ~line.rlike(r"\t|\||://"), "open word")
         .when(line.rlike(TURN) & ~(said.rlike(r"^\S*\d\S*(?:\s\S+){0,2}$|^\S+$") & line.rlike(r"(?i)^\s*a")), "fragment")
-        .when(line.rlike(REFERENCE) & (words <= 9), "reference")
+        .when((words <= 9) & line.rlike(REFERENCE), "reference")
         .when(line.rlike(LIST_ENTRY), "list entry")
         .when(core.rlike(r"[,$€£(“«-]$"), "open mark")
         .when(line.rlike(TABLE_ROW) & ~line.rlike(r"(?u)\p{Ll}\.\s+\p{Lu}"), "table row")
@@ -250,7 +250,11 @@ def truncation_evidence(df: DataFrame, id_col: str, text_col: str, source_col: s
     text = F.col("t")
     blanks = F.lit(BLANKS)
     bare = F.rtrim(F.regexp_replace(F.rtrim(text, blanks), r"(?:</?[a-zA-Z][^<>]{0,40}>){1,9}$", ""), blanks)
-    unmarked = F.rtrim(F.regexp_replace(F.col("bare"), CUT_MARK, ""), blanks)
+    # marks are looked for in the last characters; where all of these are marks, in the whole text
+    tail = F.right("bare", F.lit(MARKS))
+    left = F.regexp_replace(tail, CUT_MARK, "")
+    marks_off = F.when((F.length("bare") > MARKS) & (left == ""), F.regexp_replace("bare", CUT_MARK, "")).otherwise(F.concat(F.left("bare", F.length("bare") - F.length(tail)), left))
+    unmarked = F.rtrim(marks_off, blanks)
     declared = F.col(declared_col).cast("long") if declared_col else F.lit(None).cast("long")
     rows = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("t"), declared.alias("declared"))
     rows = rows.withColumn("bare", bare).withColumn("core", unmarked).withColumn("marked", F.coalesce(F.length("bare") > F.length("core"), F.lit(False)))
